@@ -3,12 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.session import materialize, table
+from docloom.llm import jaccard, langid, mixing, pieces, queries, toxicity
+from docloom.session import ensure_importable, materialize, table
 
-STAGES: list = []
+#: The share of the tokens that reach the mixing stage which it gives out; every document is used at most once.
+MIX_SHARE = 0.8
 
-#: The stages learn models from the corpus, which SQL cannot express.
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the corpus' labelled documents have; those without letters or a leading language go."""
+    ensure_importable(spark)
+    model = langid.learn(docs, queries.remainder(5) != 0)
+    return langid.keep_identified(docs, model)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under 0.5; toxic ones go."""
+    ensure_importable(spark)
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), queries.remainder(5) != 0)
+    return toxicity.keep_clean(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near duplicates; rows with a null id stay."""
+    ensure_importable(spark)
+    found = jaccard.join(docs)
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = materialize(gone, "gone")
+    if gone.count() <= jaccard.SMALL:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents taken by target weights of domains, languages and sources."""
+    levels = {f"mix_{name}": c for name, c in queries.mix_levels().items()}
+    rest = [c for c in docs.columns if c != "doc_id"]
+    return mixing.mix(docs, levels, queries.MIX_WEIGHTS, share=MIX_SHARE, max_epochs=1, keep=rest).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token numbers of every document that is left, with the check that decoding gives its text back."""
+    ensure_importable(spark)
+    return pieces.encode_documents(docs, queries.pieces_model())
+
+
+STAGES = [("language_id", language), ("toxicity", toxic), ("jaccard_join", near_duplicates), ("source_mixing", mixed), ("sentencepiece", encoded)]
+
+#: The first stages learn models from the corpus, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
 

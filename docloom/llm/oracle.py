@@ -36,4 +36,26 @@ e AS (SELECT doc_id, domain, lang, source, n_tokens, leaf_budget, unnest(range(C
 
 OP10 = _MIX.format(documents="documents", epochs=2, share=0.5) + "SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, n_tokens, leaf_budget FROM e"
 
-ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op10_source_mixing": OP10}
+OP3 = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP5 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id
+      GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM g UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.reached),
+c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM g JOIN c USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_url_filter": OP1, "op3_exact_top_k": OP3, "op5_jaccard_join": OP5, "op10_source_mixing": OP10}

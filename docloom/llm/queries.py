@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing, sharding, urlfilter
+from docloom.llm import fingerprints, jaccard, kneserney, langid, mixing, pieces, sharding, topk, toxicity, urlfilter
 from docloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,13 +20,67 @@ def op1_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return urlfilter.url_filter(table(spark, d, "pages"), RULES)
 
 
+def remainder(n: int, id_col: str = "doc_id") -> F.Column:
+    """crc32 of the id as text, modulo n; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every document, learned from the folds 1 to 4 of 5."""
+    docs = table(spark, d, "documents")
+    model = langid.learn(docs, remainder(5) != 0)
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
+def op3_exact_top_k(spark: SparkSession, d: str) -> DataFrame:
+    """The five best rows for each row of embeddings whose id is divisible by 50."""
+    return topk.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    """The log10 probability of every document, learned from the folds 1 to 9 of 10."""
+    found = kneserney.score(table(spark, d, "documents"), remainder(10) != 0)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op5_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return jaccard.join(table(spark, d, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels of the folds 1 to 4 of 5."""
+    docs = table(spark, d, "documents")
+    model = toxicity.learn(docs, table(spark, d, "labels"), remainder(5) != 0)
+    return toxicity.predict(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+#: The SentencePiece model that is used; its place is a parameter of the environment's, never part of the repository.
+PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def pieces_model(path: str = PIECES_MODEL) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op7_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    """Every document encoded, and decoded again."""
+    return pieces.encode_documents(table(spark, d, "documents"), pieces_model())
+
+
+def op9_order_minhash(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprint_pairs(table(spark, d, "documents"))
+
+
 N_OLD_SHARDS, N_SHARDS = 16, 24
 
 
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     """documents from 16 shards by CRC of the id to 24 shards of equal bytes."""
-    old = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(N_OLD_SHARDS))
-    placed = sharding.reshard(table(spark, d, "documents"), old, N_OLD_SHARDS, N_SHARDS)
+    placed = sharding.reshard(table(spark, d, "documents"), remainder(N_OLD_SHARDS), N_OLD_SHARDS, N_SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
@@ -48,4 +102,4 @@ def op10_source_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), mix_levels(), MIX_WEIGHTS)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op8_sharding, op10_source_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_exact_top_k, op4_lm_scoring, op5_jaccard_join, op6_toxicity, op7_sentencepiece, op8_sharding, op9_order_minhash, op10_source_mixing)}

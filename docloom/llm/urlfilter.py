@@ -105,8 +105,8 @@ class Automaton:
             carry = np.zeros(n, np.uint64)
             for w in range(self.words):
                 old = state[w, :n]
-                state[w, :n] = (((old << one) | carry | self.start[w]) & self.steps[c, w]) | (old & self.stays[at_boundary, w])
-                carry = old >> top
+                into, carry = carry, old >> top
+                state[w, :n] = (((old << one) | into | self.start[w]) & self.steps[c, w]) | (old & self.stays[at_boundary, w])
         for k in reversed(range(len(self.rules))):
             hit = (state[self.last[k] // 64] >> np.uint64(self.last[k] % 64)) & one
             found[order[hit == one]] = k

@@ -27,12 +27,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             yield batch.slice(a, b - a)
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(words of each text, numbers of all words in order, the distinct words that the numbers stand for).
 
-    A null text has no words. A distinct word may have no occurrence.
+    A null text has no words. A distinct word may have no occurrence. With lower=False the case stays.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = lists.flatten().dictionary_encode()
     ids = flat.indices.to_numpy(zero_copy_only=False)
     counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
