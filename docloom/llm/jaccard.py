@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.words import hashes, mix, slices, split_words
-from docloom.session import materialize
+from docloom.session import materialize, partitions
 
 N = 5
 #: Sets are alike if intersection / union >= NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
 #: An n-gram in this share of a slice's documents is reported as frequent; most frequent n-grams that the order knows.
 FREQUENT, MOST_FREQUENT = 1 / 500, 200_000
-#: Sets of a trie block, members of a group that are compared at once, largest sketch in bits, ids that may be broadcast.
-BLOCK, TILE, SKETCH_BITS, SMALL = 256, 1024, 1 << 15, 1_000_000
+#: Sets of a trie block, members of a group that are compared at once, rows of groups handled together, largest sketch in bits, ids that may be broadcast.
+BLOCK, TILE, BUCKET, SKETCH_BITS, SMALL = 256, 1024, 100_000, 1 << 15, 1_000_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -242,29 +242,55 @@ def _by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _sketch_fits(sketches: list[np.ndarray], where: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For pairs of rows (a, b): whether their sketches allow them to be alike. sketches: by power of two of the length, a matrix; where: a row's place in it."""
+    fits = np.zeros(len(a), bool)
+    low, high = np.minimum(words[a], words[b]), np.maximum(words[a], words[b])
+    swap = words[a] > words[b]
+    small, large = np.where(swap, b, a), np.where(swap, a, b)
+    for lo, hi in {(int(x), int(y)) for x, y in zip(low, high, strict=True)}:
+        if hi > lo + 1:
+            continue  # sizes too far apart
+        at = np.flatnonzero((low == lo) & (high == hi))
+        x, y = sketches[lo][where[small[at]]], sketches[hi][where[large[at]]]
+        if hi > lo:
+            half = y.shape[1] // 2
+            y = y[:, :half] ^ y[:, half:]
+        differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        fits[at] = (NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * n[at]
+    return fits
+
+
 def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a group's members (of the tile's two sides) that are in different components and can be alike."""
-    left, right = rows[rows.side == 0], rows[rows.side == 1]
-    if right.empty:
-        right = left
+    """Pairs within the groups (gram, i, j) of a bucket that are in different components and can be alike; all groups advance together, by distance in them."""
+    rows = rows.sort_values(["gram", "i", "j"], kind="stable")
+    gram, i, j, side, n, pos, node, component = (rows[c].to_numpy(np.int64) for c in ("gram", "i", "j", "side", "n", "pos", "node", "component"))
+    new = np.r_[True, (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+    starts = np.flatnonzero(new)
+    end = np.repeat(np.r_[starts[1:], len(gram)], np.diff(np.r_[starts, len(gram)]))
+    size = np.array([len(x) // 8 for x in rows.sketch])
+    words = np.round(np.log2(size)).astype(np.int64)
+    where, sketches = np.zeros(len(size), np.int64), []
+    for w in range(int(words.max()) + 1):
+        at = np.flatnonzero(words == w)
+        where[at] = np.arange(len(at))
+        sketches.append(np.frombuffer(b"".join(rows.sketch.iloc[at]), np.uint64).reshape(len(at), 1 << w))
+    index = np.arange(len(gram))
     out = []
-    for size, some in right.groupby(right.sketch.map(len) // 8):
-        for own, mine in left.groupby(left.sketch.map(len) // 8):
-            least = min(size, own)
-            if max(size, own) > 2 * least:
-                continue
-            x, y = (np.stack([_folded(s, least) for s in part.sketch]) for part in (mine, some))
-            a_n, b_n, a_pos, b_pos = (part[c].to_numpy(np.int64) for c in ("n", "pos") for part in (mine, some))
-            a, b, a_of, b_of = (part[c].to_numpy(np.int64) for c in ("node", "component") for part in (mine, some))
-            for i in range(len(mine)):
-                may = (a_of[i] != b_of) & (np.minimum(a_n[i], b_n) * DENOMINATOR >= np.maximum(a_n[i], b_n) * NUMERATOR)
-                may &= np.minimum(a_n[i] - a_pos[i], b_n - b_pos) * (NUMERATOR + DENOMINATOR) >= (a_n[i] + b_n) * NUMERATOR
-                at = np.flatnonzero(may)
-                if len(at):
-                    differ = np.bitwise_count(x[i] ^ y[at]).sum(1, dtype=np.int64)
-                    at = at[(NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (a_n[i] + b_n[at])]
-                    out.append(pd.DataFrame({"a": np.maximum(a[i], b[at]), "b": np.minimum(a[i], b[at])}))
-    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}).astype("int64")
+    a = index
+    for distance in range(1, int(np.diff(np.r_[starts, len(gram)]).max())):
+        a = a[a + distance < end[a]]
+        b = a + distance
+        may = (component[a] != component[b]) & ((i[a] == j[a]) | (side[a] != side[b]))
+        may &= np.minimum(n[a], n[b]) * DENOMINATOR >= np.maximum(n[a], n[b]) * NUMERATOR
+        may &= np.minimum(n[a] - pos[a], n[b] - pos[b]) * (NUMERATOR + DENOMINATOR) >= (n[a] + n[b]) * NUMERATOR
+        x, y = a[may], b[may]
+        if len(x):
+            fits = _sketch_fits(sketches, where, words, x, y, n[x] + n[y])
+            if fits.any():
+                out.append(np.stack([np.maximum(node[x[fits]], node[y[fits]]), np.minimum(node[x[fits]], node[y[fits]])], 1))
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _join_block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -335,13 +361,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     known = shared.join(first, "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     split = known.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df"), F.sum(F.xxhash64("node", "pos").cast("decimal(38,0)")).alias("who"))
     split = split.where("low <> high").groupBy("df", "who").agg(F.min("gram").alias("gram")).withColumn("tiles", F.ceil(F.col("df") / TILE))
-    split = materialize(split.select("gram", "tiles"), "split")
-    left = known.join(split, "gram").withColumn("tile", F.pmod(F.xxhash64(F.lit(3), "node"), "tiles"))
+    split = materialize(split.select("gram", "tiles", "df"), "split")
+    buckets = max(partitions(docs.sparkSession), -(-(split.agg(F.sum(F.col("df") * F.col("tiles"))).first()[0] or 0) // BUCKET))
+    left = known.join(split.drop("df"), "gram").withColumn("tile", F.pmod(F.xxhash64(F.lit(3), "node"), "tiles"))
     # A tile meets itself and, as the second side, each tile before it.
     other = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
     placed = left.select("gram", "node", "n", "pos", "component", F.explode(F.transform(other, lambda o: F.struct(F.greatest(o, "tile").alias("i"), F.least(o, "tile").alias("j"), F.when(o > F.col("tile"), 1).otherwise(0).alias("side")))).alias("t")).select("*", "t.*").drop("t")
     placed = placed.join(sketches, "node")
-    pairs = placed.groupBy("gram", "i", "j").applyInPandas(_across, "a long, b long").distinct()
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(buckets)))
+    pairs = placed.groupBy("bucket").applyInPandas(_across, "a long, b long").distinct()
     links = links.unionByName(_verify(rows, classes, pairs))
     final = components(links)
 
