@@ -92,7 +92,14 @@ class BatchStore:
         return self.jobs().where(F.col("batch_id") == batch).join(self.results().where(F.col("batch_id") == batch).select("job_id"), "job_id", "left_anti")
 
     def run(self, batch: str, recognizer: object | None = None, at: int | None = None) -> None:
-        """Convert what is pending; a job whose input is gone ends as INPUT_MISSING."""
+        """Convert what is pending; a job whose input is gone ends as INPUT_MISSING. spark.interruptTag(batch) ends a run, which can then be taken up again."""
+        self.spark.addTag(batch)
+        try:
+            self._run(batch, recognizer, at)
+        finally:
+            self.spark.removeTag(batch)
+
+    def _run(self, batch: str, recognizer: object | None, at: int | None) -> None:
         jobs = self.pending(batch)
         first = jobs.select("options").first()
         if first is None:

@@ -179,3 +179,33 @@ def test_models(spark, tmp_path):
             models.check_model(model, data)
         assert e.value.code == want
     assert models.check_model(catalogue[0], b"abc") == b"abc"
+
+
+def test_table_functions_and_scalars(spark):
+    from docloom.functions import scalars, udtfs
+
+    udtfs.register(spark)
+    df = spark.createDataFrame([(1, 'a,b\n"c', '<a href="/x">t</a><a href="javascript:1">u</a>', fx.zip_files({"p.txt": "hi", "q/r.txt": ""})), (2, "a,b\nc", "", b"no")], "id int, csv string, html string, zip binary")
+    df.createOrReplaceTempView("u")
+    assert [tuple(r) for r in spark.sql("SELECT id, c.* FROM u, LATERAL csv_rows(csv) c ORDER BY id, row_no").collect()] == [(1, None, None, "INVALID_CSV"), (2, 0, ["a", "b"], None), (2, 1, ["c"], None)]
+    assert [tuple(r) for r in spark.sql("SELECT l.* FROM u, LATERAL html_links(html) l ORDER BY link_no").collect()] == [(0, "/x", "/x", "t"), (1, "javascript:1", "", "u")]
+    got = spark.sql("SELECT id, z.name, z.bytes, z.content, z.error FROM u, LATERAL zip_entries(zip) z ORDER BY id, entry_no").collect()
+    assert [(r.id, r["name"], r.bytes, r.error) for r in got] == [(1, "p.txt", 2, None), (1, "q/r.txt", 0, None), (2, None, None, "UNSAFE_ARCHIVE")]
+    texts = spark.createDataFrame([("ﬁne  text", "fine text"), ("abcd", "abxd")], "a string, b string")
+    assert [r.r for r in texts.select(scalars.character_error_rate(F.col("a"), F.col("b")).alias("r")).collect()] == [0.0, 0.25]
+    assert scalars.memory_budget(None) == 512 * limits.MIB and scalars.memory_budget(64) == 1024 * limits.MIB and scalars.memory_budget(4) == int(614.4 * limits.MIB)
+    with pytest.raises(ConversionError):
+        scalars.memory_budget(2)
+
+
+def test_clean_removes_what_was_materialized(spark):
+    from docloom import session
+
+    kept = list(session._written)
+    session._written.clear()
+    df = session.materialize(spark.range(3), "t")
+    assert df.count() == 3
+    path = session._written[0]
+    session.clean(spark)
+    assert not os.path.exists(path)
+    session._written.extend(kept)
