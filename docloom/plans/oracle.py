@@ -48,7 +48,25 @@ def _row(*cells: str) -> str:
     return "'| ' || " + " || ' | ' || ".join(_cell(c) for c in cells) + " || ' |'"
 
 
+def _document(part: str, separator: str, before: str, fmt: str) -> str:
+    """One document from a Markdown part of each region; part may use r_name, k (its number) and names, lines and rows (of its nations)."""
+    return f"""WITH n AS (SELECT r_regionkey, r_name, n_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS i FROM region JOIN nation ON r_regionkey = n_regionkey),
+        p AS (SELECT r_regionkey, r_name, row_number() OVER (ORDER BY r_regionkey) AS k, string_agg({_row('i', 'n_name')}, chr(10) ORDER BY i) AS rows,
+              string_agg({_cell('n_name')}, chr(10) || chr(10) ORDER BY i) AS paragraphs, string_agg({_cell('n_name')}, chr(10) ORDER BY i) AS lines, string_agg('- ' || {_cell('n_name')}, chr(10) || chr(10) ORDER BY i) AS bullets FROM n GROUP BY 1, 2)
+        SELECT 'nations.{fmt}' AS name, '{fmt}' AS format, 'done' AS state, {before} || string_agg({part}, {separator} ORDER BY k) AS markdown FROM p"""
+
+
+_NL = "chr(10)"
+_NUMBERED = "'| No | Name |' || chr(10) || '| --- | --- |' || chr(10) || rows || chr(10)"
+
 ORACLE: dict[str, str] = {
+    "docx_region_nation": _document(f"'# ' || r_name || {_NL} || {_NL} || {_NUMBERED}", _NL, "''", "docx"),
+    "xlsx_region_nation": _document(f"'## ' || r_name || {_NL} || {_NL} || {_NUMBERED}", _NL, "''", "xlsx"),
+    "pptx_region_nation": _document(f"'## Slide ' || k || {_NL} || {_NL} || '### ' || r_name || {_NL} || {_NL} || bullets || {_NL}", _NL, "''", "pptx"),
+    "epub_region_nation": _document(f"'## Chapter ' || k || {_NL} || {_NL} || '# ' || r_name || {_NL} || {_NL} || paragraphs || {_NL}", _NL, f"'# Names' || {_NL} || {_NL}", "epub"),
+    "pdf_region_nation": _document(f"'## Page ' || k || {_NL} || {_NL} || r_name || {_NL} || lines || {_NL}", _NL, "''", "pdf"),
+    "exif_supplier": f"SELECT s_suppkey, 'done' AS state, '# Image metadata' || chr(10) || chr(10) || '| Group | Tag | Value |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| 0th | Make | ' || {_cell('s_name')} || ' |' || chr(10) AS markdown FROM supplier",
+    "image_without_models": "SELECT 'image' AS format, 'error' AS state, 'MODEL_UNAVAILABLE' AS code, count(*) AS n FROM supplier",
     "md_cell_documents": f"SELECT doc_id, {_cell('text')} AS cell FROM documents",
     "md_heading_documents": f"SELECT doc_id, {_heading('text')} AS heading, replace({_cell('text')}, '<br>', chr(10)) AS body FROM documents",
     "md_fence_documents": f"SELECT doc_id, {_fence('text', 'xml')} AS block FROM documents",

@@ -18,6 +18,7 @@ from docloom.kernels.layout import Token, layout_text
 from docloom.kernels.text import convert_json, parse_csv
 from docloom.operators import batch
 from docloom.operators import convert as conversion
+from docloom.plans import samples
 from docloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -418,6 +419,66 @@ def layout_text_lineitem(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("l_orderkey", lay("tokens").alias("text"))
 
 
+def _converted(spark: SparkSession, d: str, build: Callable, name: str) -> DataFrame:
+    """One document whose parts are regions with their nations, made by `build` and converted."""
+    joined = table(spark, d, "region").join(table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
+    parts = joined.groupBy("r_regionkey", "r_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("names"))
+    whole = parts.agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name", "names"))).alias("parts"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = [build([(x["r_name"], x["names"]) for x in parts]) for parts in b.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(files)), pa.array(files, pa.binary())], names=["name", "content"])
+
+    return conversion.convert(whole.mapInArrow(make, "name string, content binary")).select("name", "format", "state", "markdown")
+
+
+@query
+def docx_region_nation(spark: SparkSession, d: str) -> DataFrame:
+    return _converted(spark, d, samples.docx, "nations.docx")
+
+
+@query
+def xlsx_region_nation(spark: SparkSession, d: str) -> DataFrame:
+    return _converted(spark, d, samples.xlsx, "nations.xlsx")
+
+
+@query
+def pptx_region_nation(spark: SparkSession, d: str) -> DataFrame:
+    return _converted(spark, d, samples.pptx, "nations.pptx")
+
+
+@query
+def epub_region_nation(spark: SparkSession, d: str) -> DataFrame:
+    return _converted(spark, d, samples.epub, "nations.epub")
+
+
+@query
+def pdf_region_nation(spark: SparkSession, d: str) -> DataFrame:
+    return _converted(spark, d, samples.pdf, "nations.pdf")
+
+
+def _pictures(spark: SparkSession, d: str) -> DataFrame:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = [samples.jpeg(n) for n in b.column("s_name").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("s_suppkey"), pa.array(["a.jpg"] * len(files)), pa.array(files, pa.binary())], names=["s_suppkey", "name", "content"])
+
+    return table(spark, d, "supplier").select("s_suppkey", "s_name").mapInArrow(make, "s_suppkey bigint, name string, content binary")
+
+
+@query
+def exif_supplier(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata of pictures that name each supplier as their maker."""
+    return conversion.convert(_pictures(spark, d), override="exif").select("s_suppkey", "state", "markdown")
+
+
+@query
+def image_without_models(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures where no recognizer is given."""
+    return conversion.convert(_pictures(spark, d)).groupBy("format", "state", F.col("error.code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def convert_mixed_batch(spark: SparkSession, d: str) -> DataFrame:
     """A batch of every text format and of broken files: each has its own row, and none fails another."""
