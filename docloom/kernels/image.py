@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import zlib
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -86,6 +87,81 @@ def image_dimensions(data: bytes) -> tuple[int, int]:
     raise ConversionError("INVALID_IMAGE", "Cannot read this JPG or PNG image. It may be corrupt or use an unsupported format.")
 
 
+def decode_png(data: bytes) -> np.ndarray | None:
+    """Pixels (height, width, 3) on a white ground; None for kinds that are not read here (interlaced ones, depths other than 8 and 16 bits)."""
+    width, height = image_dimensions(data)
+    depth, kind, _, _, interlaced = struct.unpack_from(">5B", data, 24)
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
+    if channels is None or depth not in (8, 16) or interlaced:
+        return None
+    at, body, palette, clear = 8, [], b"", b""
+    while at + 12 <= len(data):
+        size, name = struct.unpack_from(">I4s", data, at)
+        part = data[at + 8 : at + 8 + size]
+        if name == b"IDAT":
+            body.append(part)
+        elif name == b"PLTE":
+            palette = part
+        elif name == b"tRNS" and kind == 3:
+            clear = part
+        at += 12 + size
+    step = channels * depth // 8
+    row_size = width * step
+    try:
+        raw = np.frombuffer(zlib.decompressobj().decompress(b"".join(body), height * (row_size + 1)), np.uint8).reshape(height, row_size + 1)
+    except (zlib.error, ValueError) as error:
+        raise ConversionError("INVALID_IMAGE", f"Cannot decode image: {error}") from None
+    above = np.zeros(row_size, np.uint8)
+    out = np.empty((height, row_size), np.uint8)
+    for y in range(height):
+        how, row = raw[y, 0], raw[y, 1:]
+        if how == 1:
+            row = np.add.accumulate(row.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
+        elif how == 2:
+            row = row + above
+        elif how in (3, 4):
+            row = _unfilter(row, above, step, how == 4)
+        out[y] = above = row
+    pixels = out.reshape(height, width, channels, depth // 8)[..., 0].astype(float)
+    if kind == 3:
+        colors = np.frombuffer(palette.ljust(768, b"\0")[:768], np.uint8).reshape(256, 3).astype(float)
+        alpha = np.frombuffer(clear.ljust(256, b"\xff")[:256], np.uint8).astype(float) / 255
+        index = pixels[..., 0].astype(int)
+        return colors[index] * alpha[index][..., None] + 255 * (1 - alpha[index][..., None])
+    alpha = pixels[..., -1:] / 255 if kind in (4, 6) else np.ones((height, width, 1))
+    color = np.repeat(pixels[..., :1], 3, axis=2) if kind in (0, 4) else pixels[..., :3]
+    return color * alpha + 255 * (1 - alpha)
+
+
+def _unfilter(row: np.ndarray, above: np.ndarray, step: int, paeth: bool) -> np.ndarray:
+    """A row stored as differences to the mean, or to the nearest, of its neighbours on the left and above."""
+    got, up = row.tolist(), above.tolist()
+    for i in range(len(got)):
+        a, b = (got[i - step] if i >= step else 0), up[i]
+        if paeth:
+            c = up[i - step] if i >= step else 0
+            guess = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+        else:
+            guess = (a + b) // 2
+        got[i] = (got[i] + guess) & 255
+    return np.array(got, np.uint8)
+
+
+def bounded_size(width: int, height: int) -> tuple[int, int, float]:
+    """(width, height, scale) within the limits for recognition."""
+    scale = min(1.0, limits.RENDER_SIDE / max(width, height), (limits.RENDER_PIXELS / (width * height)) ** 0.5)
+    return max(1, int(width * scale)), max(1, int(height * scale)), scale
+
+
+def normalized(pixels: np.ndarray, rotation: int = 0) -> np.ndarray:
+    """Pixels brought within the limits and turned clockwise."""
+    height, width = pixels.shape[:2]
+    w, h, scale = bounded_size(width, height)
+    if scale < 1:
+        pixels = pixels[(np.arange(h) * height // h)[:, None], (np.arange(w) * width // w)[None, :]]
+    return np.rot90(pixels, -(rotation // 90) % 4)
+
+
 def is_blank(pixels: np.ndarray) -> bool:
     """Whether an image (height, width, channels) is of one brightness, looked at through 128 by 128 mean tiles."""
     grey = pixels[..., :3].astype(float).mean(-1)
@@ -138,9 +214,13 @@ def recognize(image: bytes, context: Context) -> Recognized:
 def convert_image(data: bytes, context: Context) -> Result:
     width, height = image_dimensions(data)
     warnings = []
-    if max(width, height) > limits.RENDER_SIDE or width * height > limits.RENDER_PIXELS:
+    if bounded_size(width, height)[2] < 1:
         warnings.append("Image was downscaled to the OCR pixel limit; small text may be missed.")
-    found = recognize(data, context)
+    pixels = decode_png(data) if data[:4] == b"\x89PNG" else None  # JPEGs are for the engine to decode
+    if pixels is not None and is_blank(normalized(pixels, context.options.ocr_rotation)):
+        found = Recognized("", None, ["Blank image/page: no visible text to recognize."])  # without an engine
+    else:
+        found = recognize(data, context)
     return Result(f"{body_text(found.text)}\n" if found.text else "_No text recognized._\n", warnings + found.warnings)
 
 

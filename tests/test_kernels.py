@@ -299,6 +299,23 @@ def test_exif_and_images():
     assert code(convert, "a.png", fx.png(5, 5)) == "MODEL_UNAVAILABLE"
 
 
+def test_png_pixels():
+    g = np.random.default_rng(1)
+    for channels in (1, 2, 3, 4):
+        pixels = g.integers(0, 256, (9, 7, channels), np.uint8)
+        got = image.decode_png(fx.drawn_png(pixels, (0, 1, 2, 3, 4)))
+        alpha = pixels[..., -1:] / 255 if channels in (2, 4) else 1.0
+        color = np.repeat(pixels[..., :1], 3, 2) if channels < 3 else pixels[..., :3]
+        assert np.allclose(got, color * alpha + 255 * (1 - alpha))
+    assert image.decode_png(fx.png(5, 5)) is None
+    assert code(image.decode_png, fx.drawn_png(pixels)[:60]) == "INVALID_IMAGE"
+    assert image.normalized(np.zeros((30, 20, 3)), 90).shape == (20, 30, 3) and image.normalized(np.zeros((4800, 100, 3))).shape == (2400, 50, 3)
+    assert image.bounded_size(1200, 240) == (1200, 240, 1.0)
+    blank = convert("a.png", fx.drawn_png(np.full((20, 20, 3), 200, np.uint8)))
+    assert blank.markdown == "_No text recognized._\n" and blank.warnings == ["Blank image/page: no visible text to recognize."]
+    assert code(convert, "a.png", fx.drawn_png(g.integers(0, 256, (20, 20, 3), np.uint8))) == "MODEL_UNAVAILABLE"
+
+
 class Engine:
     def __init__(self, *answers):
         self.answers, self.seen = list(answers), []
