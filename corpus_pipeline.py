@@ -39,9 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents taken by target weights of domains, languages and sources."""
-    levels = {f"mix_{name}": c for name, c in queries.mix_levels().items()}
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return mixing.mix(docs, levels, queries.MIX_WEIGHTS, share=MIX_SHARE, max_epochs=1, keep=rest).select(*docs.columns)
+    whole = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("row"))  # columns of any name pass through
+    return mixing.mix(whole, queries.mix_levels(), queries.MIX_WEIGHTS, share=MIX_SHARE, max_epochs=1, keep=("row",)).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline
 from docloom.llm import jaccard, langid, toxicity
 from docloom.session import table
+from tests.llm.helpers import ODD, documents, words
 
 DATA = "/root/testdata/sf0.001"
 
@@ -30,3 +31,22 @@ def test_stages(spark, tmp_path):
     assert docs.where("not round_trip").count() == 0
     ids = sorted(r.doc_id for r in corpus_pipeline.run(spark, DATA).select("doc_id").collect())
     assert ids == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, blanks, repeated rows, columns with clashing names, and no rows at all."""
+    rows = [(i, words(i, 5 + i % 40)) for i in range(40)] + ODD + [(50, words(1, 30), None, None), (51, words(1, 30), "en", "x y")]
+    docs = documents(spark, rows).selectExpr("*", "1 AS epoch", "'q' AS n_tokens", "2 AS id", "3 AS component_id", "4 AS row", "CAST(NULL AS INT) AS nothing")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, DATA)
+        if k < 4:
+            assert out.schema.names == docs.schema.names, name
+            kept = out.collect()
+            assert len(kept) <= len(rows)
+            if name == "jaccard_join":
+                assert sum(r.doc_id is None for r in kept) == 1 and sum(r.doc_id == 50 for r in kept) == 1 and not [r for r in kept if r.doc_id == 51]
+        else:
+            assert out.where("not round_trip").count() == 0 and out.count() == len(rows)
+        nothing = stage(spark, docs.limit(0), DATA)
+        assert nothing.count() == 0, name
