@@ -22,8 +22,9 @@ from docloom.session import materialize
 
 #: Labelled documents that are learned from, about (chosen by a hash of the id); most learned lexicon words.
 SAMPLE, MOST_WORDS = 30_000, 2000
-#: A word enters the lexicon if so many toxic documents have it and its log odds are so high.
-LEAST_DOCS, LEAST_ODDS = 5, 1.2
+#: A word enters the lexicon if so many toxic documents have it and its log odds are so high; a beginning of words, which stands for all of them, needs more.
+LEAST_DOCS, LEAST_ODDS, LEAST_BEGINNING_DOCS, LEAST_BEGINNING_ODDS = 5, 1.2, 8, 2.0
+BEGINNINGS = (5, 6)
 TREES, DEPTH, RATE, BINS, LEAST_LEAF, RIDGE = 80, 4, 0.12, 64, 20, 5.0
 
 #: Words that insult in common use, as a start for the lexicon.
@@ -49,6 +50,11 @@ def plain(word: str) -> tuple[str, str]:
     return low, NOT_LETTER.sub("", DRAWN_OUT.sub(r"\1", low.translate(LEET)))
 
 
+def beginnings(word: str) -> list[str]:
+    """Marked beginnings of a word, by which its other forms are known."""
+    return ["^" + word[:k] for k in reversed(BEGINNINGS) if len(word) >= k]
+
+
 def _classes() -> np.ndarray:
     """By byte: 1 capital, 2 other letter or part of a longer character, 3 punctuation, 4 digit, 5 `!` or `?`, 6 symbol that hides letters."""
     out = np.zeros(256, np.int8)
@@ -64,7 +70,7 @@ CLASSES = _classes()
 
 @dataclass
 class Lexicon:
-    """Weights of words, as `plain` gives them."""
+    """Weights of words, as `plain` gives them, and of marked beginnings."""
 
     weights: dict[str, float] = field(default_factory=lambda: dict.fromkeys(INSULTS, 2.0))
 
@@ -87,6 +93,11 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         elif bare != low and bare in known:
             weight[k] = known[bare]
             hidden_hit[k] = 1
+        else:
+            for beginning in beginnings(low):
+                if beginning in known:
+                    weight[k] = known[beginning]
+                    break
         if not low.isalpha():
             hidden[k] = HIDDEN.search(low) is not None
         if len(low) >= 3:
@@ -158,6 +169,7 @@ class Trees:
 def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
     """Newton boosting for the logistic loss on quantile histograms."""
     n, width = x.shape
+    least_leaf, ridge = int(np.clip(n // 100, 3, LEAST_LEAF)), float(np.clip(n / 1000, 1.0, RIDGE))  # few labels allow less
     rate = min(max(y.mean(), 1e-4), 1 - 1e-4)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(width)]
     # Quantiles alone would put a rare value with zeros in one bin; the positive part has quantiles of its own.
@@ -184,8 +196,8 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
             sums = [np.bincount(where.ravel(), np.repeat(v, width), minlength=many * width * most).reshape(shape) for v in (g, h, np.ones(n))]
             left = [s.cumsum(2) for s in sums]
             whole = [s[:, :, -1:] for s in left]
-            gain = left[0] ** 2 / (left[1] + RIDGE) + (whole[0] - left[0]) ** 2 / (whole[1] - left[1] + RIDGE) - whole[0] ** 2 / (whole[1] + RIDGE)
-            gain[(left[2] < LEAST_LEAF) | (whole[2] - left[2] < LEAST_LEAF)] = 0
+            gain = left[0] ** 2 / (left[1] + ridge) + (whole[0] - left[0]) ** 2 / (whole[1] - left[1] + ridge) - whole[0] ** 2 / (whole[1] + ridge)
+            gain[(left[2] < least_leaf) | (whole[2] - left[2] < least_leaf)] = 0
             flat = gain.reshape(many, -1)
             pick = flat.argmax(1)
             for k in range(many):
@@ -196,7 +208,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
             node = 2 * node + 1 + (x[np.arange(n), feature[tree, node]] > threshold[tree, node])
         leaf = node - inner
         sums = [np.bincount(leaf, v, minlength=leaves) for v in (g, h)]
-        value[tree] = -RATE * sums[0] / (sums[1] + RIDGE)
+        value[tree] = -RATE * sums[0] / (sums[1] + ridge)
         margin += value[tree, leaf]
     return Trees(base, feature, threshold, value)
 
@@ -251,7 +263,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
         found: dict[str, list[int]] = {}
         for batch in slices(batches, "text"):
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                for w in {b for t in set((text or "").split()) for b in plain(t)} - {""}:
+                own = {b for t in set((text or "").split()) for b in plain(t)} - {""}
+                for w in own | {b for w in own for b in beginnings(w)}:
                     found.setdefault(w, [0, 0])[y > 0] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], names=["word", "clean", "toxic"])
 
@@ -261,7 +274,9 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
         odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
         table = texts.where("part < 5").select("text", "y").distinct().mapInArrow(words, "word string, clean long, toxic long")
         table = table.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).withColumn("odds", odds)
-        best = table.where(f"toxic >= {LEAST_DOCS} and odds >= {LEAST_ODDS}").orderBy(F.desc(F.col("odds") * F.log("toxic")), "word").limit(MOST_WORDS)
+        whole = f"toxic >= {LEAST_DOCS} and odds >= {LEAST_ODDS}"
+        begun = f"toxic >= {LEAST_BEGINNING_DOCS} and odds >= {LEAST_BEGINNING_ODDS}"
+        best = table.where(F.when(F.startswith("word", F.lit("^")), F.expr(begun)).otherwise(F.expr(whole))).orderBy(F.desc(F.col("odds") * F.log("toxic")), "word").limit(MOST_WORDS)
         lexicon.weights |= {r["word"]: float(r["odds"]) for r in best.collect()}
 
     def table_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +288,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     y = (got["y"].to_numpy() > 0).astype(float)
     x = np.array(got["x"].to_pylist(), float).reshape(len(y), len(NAMES))
     fit = got["part"].to_numpy() < 8
-    if not (0 < y[fit].sum() < fit.sum()) or fit.sum() < 4 * LEAST_LEAF:
+    if not (0 < y[fit].sum() < fit.sum()) or fit.sum() < 12:
         every = n_clean + n_toxic + len(y)
         return Model(lexicon, None, (np.zeros(1), np.array([(n_toxic + y.sum()) / every if every else 0.0])))
     trees = fit_trees(x[fit], y[fit])
