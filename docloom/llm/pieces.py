@@ -95,8 +95,10 @@ class Codec:
         self.dummy_prefix = pieces.dummy_prefix
         usable = [i for i, kind in enumerate(pieces.kinds) if kind in (NORMAL, USER_DEFINED)]
         self.longest = max(len(pieces.texts[i]) for i in usable)
-        #: Words can be encoded each for itself if no piece has a space after something else.
-        self.by_word = not any(SPACE in pieces.texts[i].lstrip(SPACE) for i in usable)
+        #: Words can be encoded each for itself if no piece has a space after something else, and lines if none has a line end.
+        by_word = not any(SPACE in pieces.texts[i].lstrip(SPACE) for i in usable)
+        by_line = not any("\n" in pieces.texts[i] for i in usable)
+        self.split = re.compile(r"(?s).+" if not by_word else r" *[^ \n]+|\n| +" if by_line else r" *[^ ]+| +")
         keys = np.zeros(len(usable), np.uint64)
         for m in range(1, self.longest + 1):
             at = [k for k, i in enumerate(usable) if len(pieces.texts[i]) == m]
@@ -136,18 +138,21 @@ class Codec:
         power = np.uint64(pow(int(BASE), m, 1 << 64))
         return mix(end - start * power + np.uint64(m * 0xD6E8FEB86659FD93 % (1 << 64)))
 
-    def _viterbi(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Piece numbers of each row of equally long words; -1 - code for a character in no piece."""
+    def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece numbers of all rows of equally long words, number in each row); -1 - code for a character in no piece."""
         n, length = codes.shape
         hashes = self._prefix(codes)
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        back_len = np.zeros((n, length + 1), np.uint8 if self.longest < 256 else np.uint16)
-        back_id = np.zeros((n, length + 1), np.int32)
-        lengths = np.arange(self.longest, 0, -1)
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0
+        back_len = np.zeros((length + 1, n), np.uint8 if self.longest < 256 else np.uint16)
+        back_id = np.zeros((length + 1, n), np.int32)
+        longest = min(self.longest, length)
+        lengths = np.arange(longest, 0, -1)
+        rows = np.arange(n)
         for a in range(1, length + 1, BLOCK):
             b = min(a + BLOCK, length + 1)
-            found = np.full((self.longest, b - a, n), -1, np.int32)
+            found = np.full((longest, b - a, n), -1, np.int32)
+            gain = np.full((longest, b - a, n), -np.inf)
             for k, m in enumerate(lengths):
                 s = max(a, m)
                 if s < b:
@@ -155,43 +160,52 @@ class Codec:
                     maybe = np.nonzero(self.filter[keys & np.uint64((1 << 20) - 1)])
                     probe = keys[maybe]
                     at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
-                    found[k, s - a + maybe[0], maybe[1]] = np.where(self.keys[at] == probe, self.ids[at], -1)
-            gain = np.where(found >= 0, self.scores[found], -np.inf)
-            gain[-1] = np.where(found[-1] >= 0, gain[-1], self.unknown)
+                    true = self.keys[at] == probe
+                    ids, t, row = self.ids[at[true]], s - a + maybe[0][true], maybe[1][true]
+                    found[k, t, row] = ids
+                    gain[k, t, row] = self.scores[ids]
+            gain[-1][found[-1] < 0] = self.unknown
             for t in range(a, b):
-                k0 = max(0, self.longest - t)
-                total = gain[k0:, t - a] + best[:, np.maximum(t - lengths[k0:], 0)].T
+                k0 = max(0, longest - t)
+                total = gain[k0:, t - a] + best[t - lengths[k0:]]
                 pick = total.argmax(0)
-                rows = np.arange(n)
-                best[:, t] = total[pick, rows]
-                back_len[:, t] = lengths[k0 + pick]
-                back_id[:, t] = found[k0 + pick, t - a, rows]
-        # Backtrack all rows together.
-        at = np.full(n, length)
-        taken = []
-        rows = np.arange(n)
+                best[t] = total[pick, rows]
+                back_len[t] = lengths[k0 + pick]
+                back_id[t] = found[k0 + pick, t - a, rows]
+        # All rows go back together, a piece a step.
+        at, taken = np.full(n, length), []
+        none = np.iinfo(np.int64).min
         while (live := at > 0).any():
-            ids = back_id[rows, at]
-            ids = np.where(ids >= 0, ids, -1 - codes[rows, np.maximum(at - 1, 0)].astype(np.int64))
-            taken.append(np.where(live, ids, np.iinfo(np.int64).min))
-            at = np.where(live, at - back_len[rows, at], 0)
-        path = np.array(taken[::-1]).T if taken else np.zeros((n, 0), np.int64)
-        return [row[row != np.iinfo(np.int64).min] for row in path]
+            ids = back_id[at, rows].astype(np.int64)
+            unknown = ids < 0
+            if unknown.any():
+                ids[unknown] = -1 - codes[rows, np.maximum(at - 1, 0)][unknown].astype(np.int64)
+            taken.append(np.where(live, ids, none))
+            at = np.where(live, at - back_len[at, rows], 0)
+        path = np.array(taken[::-1]).T
+        kept = path != none
+        return path[kept], kept.sum(1)
 
-    def _spelt(self, ids: np.ndarray) -> np.ndarray:
-        if len(ids) and ids.min() < 0:
-            out: list[int] = []
-            for i in ids.tolist():
-                if i >= 0:
-                    out.append(i)
-                else:
-                    code = -1 - i
-                    out.extend(self.bytes[list((SPACE if code == OWN_SPACE else chr(code)).encode())].tolist())
-            return np.array(out, np.int32)
-        return ids.astype(np.int32)
+    def _spelt(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with unknown characters as byte pieces."""
+        if not len(ids) or ids.min() >= 0:
+            return ids.astype(np.int32), counts
+        codes, which = np.unique(-1 - ids[ids < 0], return_inverse=True)
+        spelt = [self.bytes[list((SPACE if c == OWN_SPACE else chr(c)).encode())] for c in codes.tolist()]
+        size = np.ones(len(ids), np.int64)
+        size[ids < 0] = np.array([len(x) for x in spelt])[which]
+        start = np.cumsum(size) - size
+        out = np.empty(size.sum(), np.int32)
+        out[start[ids >= 0]] = ids[ids >= 0]
+        for k, x in enumerate(spelt):
+            at = start[ids < 0][which == k]
+            for j, piece in enumerate(x.tolist()):
+                out[at + j] = piece
+        return out, np.add.reduceat(size, np.cumsum(counts) - counts)
 
-    def _words(self, words: Sequence[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
+    def _words(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pieces of all words, where each word's begin, how many they are)."""
+        begin, count, flat, used = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
         size = np.fromiter(map(len, words), np.int64, len(words))
         for length in np.unique(size):
             same = np.flatnonzero(size == length)
@@ -200,13 +214,16 @@ class Codec:
                 part = same[a : a + step]
                 codes = np.frombuffer("".join([words[i] for i in part]).encode("utf-32-le"), np.uint32).reshape(len(part), length)
                 codes = np.where(codes == ord(SPACE), np.uint32(OWN_SPACE), np.where(codes == 32, np.uint32(ord(SPACE)), codes))
-                for i, ids in zip(part, self._viterbi(codes), strict=True):
-                    out[i] = self._spelt(ids)
-        return out
+                ids, n = self._spelt(*self._viterbi(codes))
+                flat.append(ids)
+                count[part] = n
+                begin[part] = used + np.cumsum(n) - n
+                used += len(ids)
+        return np.concatenate(flat), begin, count
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of pieces of each text, pieces of all texts in order); the distinct words of the texts are encoded once."""
-        find = re.compile(r" *[^ ]+| +" if self.by_word else r"(?s).+").findall
+        find = self.split.findall
         known: dict[str, int] = {}
         counts = np.zeros(len(texts), np.int64)
         numbers: list[int] = []
@@ -216,10 +233,7 @@ class Codec:
             numbers.extend([known.setdefault(w, len(known)) for w in found])
         if not known:
             return counts, np.zeros(0, np.int32)
-        encoded = self._words(list(known))
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.concatenate(encoded)
-        begin = np.cumsum(size) - size
+        flat, begin, size = self._words(list(known))
         order = np.array(numbers, np.int64)
         own = size[order]
         ends = np.cumsum(own)
