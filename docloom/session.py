@@ -13,9 +13,15 @@ _written: list[str] = []
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Workers give large arrays back to the system as soon as they are freed: they live on between stages, and an executor has several.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ensure_importable(spark: SparkSession) -> None:
-    """Put this checkout on the Python path of the workers started from now on."""
+    """Put this checkout on the Python path of the workers started from now on, and have them give memory back."""
     env = spark.sparkContext.environment
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
     known = env.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join([ROOT, known] if known else [ROOT])
