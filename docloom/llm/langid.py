@@ -16,12 +16,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.words import mix, slices, split_words
+from docloom.llm.words import SLICE_BYTES, mix, slices, split_words
 
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
 #: Labelled documents of a language that are learned from (chosen by a hash of the id), and languages that are learned.
 SAMPLE, MOST_LANGUAGES = 2000, 64
 ROUNDS, MOST_IN_SET, PENALTY, SMOOTHING = 10, 4, 3.0, 0.5
+#: Distinct words that are scored at once, and languages up to which a slice of texts has its full size.
+WORDS_AT_ONCE, FEW_LANGUAGES = 16384, 8
 UNDETERMINED = "und"
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -55,16 +57,24 @@ class Model:
     languages: list[str]
     table: np.ndarray
 
+    @property
+    def slice_bytes(self) -> int:
+        """Text that is handled at once: there is a number for each word and language."""
+        return SLICE_BYTES * FEW_LANGUAGES // max(FEW_LANGUAGES, len(self.languages))
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-likelihoods (words, languages); all nan for a word without letters."""
-        out = np.zeros((len(words), len(self.languages)), np.float64)
+        parts = [self._some_scores(words[a : a + WORDS_AT_ONCE]) for a in range(0, len(words), WORDS_AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)))
+
+    def _some_scores(self, words: list[str]) -> np.ndarray:
+        out = np.full((len(words), len(self.languages)), np.nan)
         buckets, orders, owners = ngram_buckets(words)
         order = np.argsort(owners, kind="stable")
         owners = owners[order]
         if len(owners):
             begin = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
             out[owners[begin]] = np.add.reduceat(self.table[orders[order], buckets[order]], begin, axis=0, dtype=np.float64)
-        out[np.setdiff1d(np.arange(len(words)), owners)] = np.nan
         return out
 
 
@@ -193,7 +203,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     narrow = docs.select(F.col(id_col), *extra, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", model.slice_bytes):
             langs, scores, sets, shares = _judge(model, batch.column("__text"))
             columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score", "languages", "shares"])
@@ -206,7 +216,7 @@ def keep_identified(docs: DataFrame, model: Model, least_share: float = 0.3, tex
     """The rows of docs, unchanged, but for those that are `und` or whose language has a score under least_share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, model.slice_bytes):
             langs, scores, _, _ = _judge(model, batch.column(text_col))
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least_share for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
 
