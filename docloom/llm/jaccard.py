@@ -28,6 +28,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 FREQUENT, MOST_FREQUENT = 1 / 500, 200_000
 #: Sets of a trie block, members of a group that are compared at once, rows of groups handled together, largest sketch in bits, ids that may be broadcast.
 BLOCK, TILE, BUCKET, SKETCH_BITS, SMALL = 256, 1024, 100_000, 1 << 15, 1_000_000
+#: Edges that a task turns into a forest at once.
+EDGES = 1_000_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -201,12 +203,46 @@ def trie_links(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([find(i) for i in range(len(sets))])
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of each stretch of a partition as stars: from every node to the smallest one that they lead to."""
+
+    def stars(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([np.asarray(p.column(c)) for p in parts]) for c in ("u", "v"))
+        nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = ends[: len(u)], ends[len(u) :]
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[a], label[b])
+            best = label.copy()
+            for side in (a, b):
+                np.minimum.at(best, label[side], low)
+            best = best[best]
+            while (best[best] != best).any():
+                best = best[best]
+            if (best[label] == label).all():
+                break
+            label = best[label]
+        leaf = label != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[label[leaf]])], names=["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= EDGES:
+            yield stars(held)
+            held = []
+    if sum(x.num_rows for x in held):
+        yield stars(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): for each node of edges (u, v) the smallest node that edges lead to; rounds of large-star and small-star."""
-    e = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    """(node, component): for each node of edges (u, v) the smallest node that edges lead to; rounds of large-star and small-star over local forests."""
+    kind = "u long, v long"
+    e = materialize(edges.select("u", "v").where("u <> v").mapInArrow(_forest, kind).distinct(), "edges")
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(e)
     while before[0]:
+        e = e.mapInArrow(_forest, kind)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -358,7 +394,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     first = materialize(components(links), "first")
 
     # Second round: groups that still have several components, each distinct group once, in tiles.
-    known = shared.join(first, "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
+    few = F.broadcast if first.count() <= SMALL else (lambda x: x)
+    known = shared.join(few(first), "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     split = known.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df"), F.sum(F.xxhash64("node", "pos").cast("decimal(38,0)")).alias("who"))
     split = split.where("low <> high").groupBy("df", "who").agg(F.min("gram").alias("gram")).withColumn("tiles", F.ceil(F.col("df") / TILE))
     split = materialize(split.select("gram", "tiles", "df"), "split")
@@ -370,8 +407,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     placed = placed.join(sketches, "node")
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(buckets)))
     pairs = placed.groupBy("bucket").applyInPandas(_across, "a long, b long").distinct()
-    links = links.unionByName(_verify(rows, classes, pairs))
-    final = components(links)
+    # What the second round links are whole components of the first; the rest of the graph is settled.
+    found = _verify(rows, classes, pairs)
+    for end in ("u", "v"):
+        found = found.join(few(first.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))), end, "left").withColumn(end, F.coalesce(f"{end}_component", end)).drop(f"{end}_component")
+    second = components(found)
+    merged = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    final = merged.unionByName(second.join(first, "node", "left_anti"))
 
     labelled = classes.select("node", "id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
