@@ -26,7 +26,7 @@ N = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: An n-gram in this share of a slice's documents is reported as frequent; most frequent n-grams that the order knows.
 FREQUENT, MOST_FREQUENT = 1 / 500, 200_000
-#: Sets of a trie block, members of a group that are compared at once, rows of groups handled together, largest sketch in bits, ids that may be broadcast.
+#: Sets of a trie block, members of a group that are compared at once, rows of groups handled together, bits of the largest sketch, ids that may be broadcast.
 BLOCK, TILE, BUCKET, SKETCH_BITS, SMALL = 256, 1024, 100_000, 1 << 15, 1_000_000
 #: Edges that a task turns into a forest at once.
 EDGES = 1_000_000
@@ -57,9 +57,12 @@ def shingle_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
 
 
 def sketch(grams: np.ndarray) -> bytes:
-    """By bit: whether an odd number of n-grams falls there. Two sets differ in at least as many n-grams as their sketches in bits."""
-    bits = 64
-    while bits < min(len(grams), SKETCH_BITS):
+    """By bit: whether an odd number of n-grams falls there. Two sets differ in at least as many n-grams as their sketches in bits.
+
+    A bit for an n-gram, two in small sets: sets that are nearly alike shall rarely pass for alike.
+    """
+    bits, least = 64, len(grams) if len(grams) > 256 else 2 * len(grams)
+    while bits < min(least, SKETCH_BITS):
         bits *= 2
     return np.packbits(np.bincount((mix(grams) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
@@ -298,12 +301,22 @@ def _sketch_fits(sketches: list[np.ndarray], where: np.ndarray, words: np.ndarra
 
 
 def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs within the groups (gram, i, j) of a bucket that are in different components and can be alike; all groups advance together, by distance in them."""
-    rows = rows.sort_values(["gram", "i", "j"], kind="stable")
+    """Pairs within the groups (gram, i, j) of a bucket that are in different components and can be alike.
+
+    All groups advance together. A group's components stand one after the other, the largest first, and a row meets the rows behind
+    its component only, so that a large component costs no more than the rows that are not in it.
+    """
+    rows = rows.assign(own=rows.groupby(["gram", "i", "j", "component"])["node"].transform("size"))
+    rows = rows.sort_values(["gram", "i", "j", "own", "component"], ascending=[True, True, True, False, True], kind="stable")
     gram, i, j, side, n, pos, node, component = (rows[c].to_numpy(np.int64) for c in ("gram", "i", "j", "side", "n", "pos", "node", "component"))
     new = np.r_[True, (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
-    starts = np.flatnonzero(new)
-    end = np.repeat(np.r_[starts[1:], len(gram)], np.diff(np.r_[starts, len(gram)]))
+
+    def ends(first: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(first)
+        after = np.r_[starts[1:], len(first)]
+        return np.repeat(after, after - starts)
+
+    end, behind = ends(new), ends(new | np.r_[True, component[1:] != component[:-1]])
     size = np.array([len(x) // 8 for x in rows.sketch])
     words = np.round(np.log2(size)).astype(np.int64)
     where, sketches = np.zeros(len(size), np.int64), []
@@ -311,13 +324,12 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
         at = np.flatnonzero(words == w)
         where[at] = np.arange(len(at))
         sketches.append(np.frombuffer(b"".join(rows.sketch.iloc[at]), np.uint64).reshape(len(at), 1 << w))
-    index = np.arange(len(gram))
     out = []
-    a = index
-    for distance in range(1, int(np.diff(np.r_[starts, len(gram)]).max())):
-        a = a[a + distance < end[a]]
-        b = a + distance
-        may = (component[a] != component[b]) & ((i[a] == j[a]) | (side[a] != side[b]))
+    a = np.arange(len(gram))
+    for distance in range(int((end - behind).max(initial=0))):
+        a = a[behind[a] + distance < end[a]]
+        b = behind[a] + distance
+        may = (i[a] == j[a]) | (side[a] != side[b])
         may &= np.minimum(n[a], n[b]) * DENOMINATOR >= np.maximum(n[a], n[b]) * NUMERATOR
         may &= np.minimum(n[a] - pos[a], n[b] - pos[b]) * (NUMERATOR + DENOMINATOR) >= (n[a] + n[b]) * NUMERATOR
         x, y = a[may], b[may]
@@ -396,8 +408,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # Second round: groups that still have several components, each distinct group once, in tiles.
     few = F.broadcast if first.count() <= SMALL else (lambda x: x)
     known = shared.join(few(first), "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
-    split = known.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df"), F.sum(F.xxhash64("node", "pos").cast("decimal(38,0)")).alias("who"))
-    split = split.where("low <> high").groupBy("df", "who").agg(F.min("gram").alias("gram")).withColumn("tiles", F.ceil(F.col("df") / TILE))
+    who = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"who{k}") for k in (1, 2)]
+    split = known.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df"), F.sum("pos").alias("at"), *who)
+    # Of n-grams that the same sets have, only the first one can be the first that two of them share.
+    split = split.where("low <> high").groupBy("df", "who1", "who2").agg(F.min_by("gram", F.struct("at", "gram")).alias("gram")).withColumn("tiles", F.ceil(F.col("df") / TILE))
     split = materialize(split.select("gram", "tiles", "df"), "split")
     buckets = max(partitions(docs.sparkSession), -(-(split.agg(F.sum(F.col("df") * F.col("tiles"))).first()[0] or 0) // BUCKET))
     left = known.join(split.drop("df"), "gram").withColumn("tile", F.pmod(F.xxhash64(F.lit(3), "node"), "tiles"))
