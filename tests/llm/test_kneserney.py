@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import kneserney
+from docloom.llm import kneserney, queries
 from tests.llm.helpers import ODD, documents
 
 
@@ -67,3 +67,66 @@ def test_hash_table_and_packing():
     assert (table.get(keys[::7])[0] == np.arange(len(keys))[::7]).all() and not table.get(keys + np.uint64(1))[0][1:5].any()
     for a in (keys, np.zeros(0, np.uint32), np.array([5], np.int32)):
         assert (kneserney.expand(kneserney.squeeze(a), a.dtype) == a).all()
+
+
+def brute_trigram(rows, train):
+    """score of the model of order 3 by its formulas, with dictionaries."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    docs = [(i, ["<s>", *re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), "</s>"]) for i, t in rows]
+    learn = [w for i, w in docs if train(i)]
+    tri = Counter(t for w in learn for t in zip(w, w[1:], w[2:]))
+    bi = Counter((b, c) for _, b, c in tri) + Counter((w[0], w[1]) for w in learn)
+    uni = Counter(b for _, b in bi)
+    v = len(uni)
+    tables = []
+    for table in (tri, bi, uni):
+        d = (0.0, *kneserney.discounts([sum(k == x for k in table.values()) for x in (1, 2, 3, 4)]))
+        follow = defaultdict(list)
+        for g, k in table.items():
+            follow[g[:-1] if table is not uni else ()].append(k)
+        tables.append((table, d, {g: (sum(f), sum(d[min(k, 3)] for k in f)) for g, f in follow.items()}))
+
+    def p(level, context, w):
+        if level == 2:
+            table, d, follow = tables[2]
+            total, left = follow.get((), (0, 1.0))
+            return (table[w] - d[min(table[w], 3)]) / max(total, 1) + left / max(total, 1) / (v + 1)
+        table, d, follow = tables[level]
+        low = p(level + 1, context[1:], w)
+        if context not in follow:
+            return low
+        total, left = follow[context]
+        k = table[(*context, w)]
+        return (k - d[min(k, 3)]) / total + left / total * low
+
+    for level in (0, 1):
+        for context in list(tables[level][2])[:10]:
+            assert abs(sum(p(level, context, w) for w in [*uni, object()]) - 1) < 1e-9
+    return sorted((str(i), round(p(1, ("<s>",), w[1]) and sum(math.log10(p(1, ("<s>",), w[1]) if k == 1 else p(0, (w[k - 2], w[k - 1]), w[k])) for k in range(1, len(w))), 6)) for i, w in docs)
+
+
+@pytest.mark.parametrize("kind", ["rare", "hot"])
+def test_trigrams_against_brute_force(spark, monkeypatch, kind):
+    r = random.Random(12)
+    words = [f"W{int(r.paretovariate(0.7))}" for _ in range(6000)]
+    rows = [(i, " ".join(words[r.randrange(5900) :][: r.randint(0, 90)] + ["very", "common"] * (i % 7))) for i in range(250)] + ODD
+    monkeypatch.setattr(kneserney, "CHUNK_BYTES", 8000)
+    monkeypatch.setattr(kneserney, "SHARD_TOKENS", 3000)
+    docs = documents(spark, rows)
+    seen = []
+    layout = kneserney.Layout
+    monkeypatch.setattr(kneserney, "Layout", lambda *a: seen.append(layout(*a)) or seen[-1])
+    if kind == "rare":
+        monkeypatch.setattr(kneserney, "HOT", 1.0)
+    got = kneserney.score(docs, F.col("doc_id") % 4 != 0, order=3).collect()
+    assert sorted((str(x.doc_id), round(x.score, 6)) for x in got) == brute_trigram(rows, lambda i: i is not None and i % 4 != 0)
+    assert (len(seen[0].pairs) > 5) == (kind == "hot")
+    low = {x.doc_id: x.score for x in kneserney.score(docs, F.col("doc_id") % 4 != 0).collect()}
+    assert any(abs(x.score - low[x.doc_id]) > 1 for x in got)
+    assert kneserney.score(docs.limit(0), F.lit(True), order=3).count() == 0
+    with pytest.raises(ValueError):
+        kneserney.score(docs, F.lit(True), order=1)
+
+
+def test_query_uses_trigrams():
+    assert queries.LM_ORDER == 3
