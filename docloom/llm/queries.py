@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import fingerprints, jaccard, kneserney, langid, mixing, pieces, sharding, topk, toxicity, urlfilter
-from docloom.session import table
+from docloom.session import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,8 +83,8 @@ N_OLD_SHARDS, N_SHARDS = 16, 24
 
 
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
-    """documents from 16 shards by CRC of the id to 24 shards of equal bytes."""
-    placed = sharding.reshard(table(spark, d, "documents"), remainder(N_OLD_SHARDS), N_OLD_SHARDS, N_SHARDS)
+    """documents from 16 shards by CRC of the id to 24 shards of equal bytes, as the rewritten files have them."""
+    placed = sharding.rewrite(table(spark, d, "documents"), remainder(N_OLD_SHARDS), N_OLD_SHARDS, N_SHARDS, scratch(spark, "shards"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

@@ -4,7 +4,8 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from docloom.llm.sharding import even, min_cost_flow, reshard, rewrite_affected
+from docloom.llm import queries
+from docloom.llm.sharding import even, min_cost_flow, reshard, rewrite, rewrite_affected
 from tests.llm.helpers import ODD, documents, words
 
 
@@ -47,3 +48,52 @@ def test_reshard(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {r.shard for r in back.select("shard").distinct().collect()} == set(touched)
     assert back.count() == moves.where(F.col("shard").isin(touched)).count()
+
+
+def text_of(rows):
+    return sorted((str(r.doc_id), r.text or "", r.lang) for r in rows)
+
+
+def test_rewrite(spark, tmp_path):
+    rows = [(i % 500 if i % 9 else None, words(i, 1 + i % 50)) for i in range(600)] + ODD
+    docs = documents(spark, rows).drop("shard")
+    old, path = F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int"), str(tmp_path / "out")
+    docs.withColumn("shard", old).write.partitionBy("shard").parquet(path)
+    want = sorted(map(str, reshard(docs, old, 4, 6).select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot").collect()))
+    got = rewrite(docs, old, 4, 6, path)
+    assert sorted(map(str, got.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot").collect())) == want
+    files = spark.read.parquet(path)
+    assert text_of(files.collect()) == text_of(docs.collect())  # the old files are gone: no row twice
+    touched = {s for r in got.collect() if r.shard != r.old_shard for s in (r.shard, r.old_shard)}
+    written = sorted((r.shard, r.slot) for r in files.collect() if r.slot is not None)  # an untouched shard's old files have no slot
+    assert written == sorted((r.shard, r.slot) for r in got.collect() if r.shard in touched) and {0, 4, 5} <= touched
+    # To fewer shards: those that end empty lose their files; from the files themselves.
+    now = spark.read.parquet(path).select("doc_id", "text", "lang", F.col("shard").alias("was"))
+    rewrite(now, F.col("was"), 6, 2, path).collect()
+    files = spark.read.parquet(path)
+    assert text_of(files.collect()) == text_of(docs.collect()) and {r.shard for r in files.select("shard").distinct().collect()} == {0, 1}
+    assert rewrite(docs.limit(0), old, 4, 6, str(tmp_path / "none")).count() == 0
+    # Nothing moves: nothing is written, all rows are still returned.
+    assert rewrite(docs, F.lit(0), 1, 1, str(tmp_path / "none")).count() == len(rows) and not (tmp_path / "none").exists()
+
+
+def test_rewrite_affected_keeps_every_row_once(spark, tmp_path):
+    rows = [(i % 500 if i % 9 else None, words(i, 1 + i % 50)) for i in range(600)]
+    docs, path = documents(spark, rows).select("doc_id", "text", "lang"), str(tmp_path / "out")
+    old = F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int")
+    docs.withColumn("shard", old).write.partitionBy("shard").parquet(path)
+    moves = reshard(docs, old, 4, 6)
+    touched = set(rewrite_affected(docs, moves, path))
+    files = spark.read.parquet(path)
+    assert text_of(files.collect()) == text_of(docs.collect())
+    written = sorted((r.shard, r.slot) for r in files.collect() if r.slot is not None)
+    assert written == sorted((r.shard, r.slot) for r in moves.collect() if r.shard in touched) and {4, 5} <= touched
+
+
+def test_query_writes_files(spark, tmp_path, monkeypatch):
+    rows = [(i, words(i, 1 + i % 50)) for i in range(300)]
+    documents(spark, rows).drop("shard").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "scratch", lambda *_: str(tmp_path / "shards"))
+    got = queries.op8_sharding(spark, str(tmp_path)).collect()
+    files = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert sorted((r.doc_id, r.shard, r.slot) for r in got) == sorted((r.doc_id, r.shard, r.slot) for r in files) and len(got) == 300
