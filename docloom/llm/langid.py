@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from docloom.llm.words import SLICE_BYTES, mix, slices, split_words
 
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
-#: Labelled documents of a language that are learned from (chosen by a hash of the id), and languages that are learned.
-SAMPLE, MOST_LANGUAGES = 2000, 64
+#: Labelled documents of a language that are learned from (chosen by a hash of the id), and languages up to which each has BUCKETS buckets of n-grams.
+SAMPLE, MANY_LANGUAGES = 2000, 64
 ROUNDS, MOST_IN_SET, PENALTY, SMOOTHING = 10, 4, 3.0, 0.5
 #: Distinct words that are scored at once, and languages up to which a slice of texts has its full size.
 WORDS_AT_ONCE, FEW_LANGUAGES = 16384, 8
@@ -28,7 +28,12 @@ UNDETERMINED = "und"
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
-def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def n_buckets(languages: int) -> int:
+    """Buckets for so many languages: fewer for more of them, so that a table of all has a bounded size; a power of two, 64 at least."""
+    return max(64, min(BUCKETS, 1 << (MANY_LANGUAGES * BUCKETS // max(languages, 1)).bit_length() - 1))
+
+
+def ngram_buckets(words: list[str], size_of: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets, orders, word numbers) of the n-grams of the letter runs in words, each run padded by a space on both sides."""
     runs = [(k, f" {run} ") for k, w in enumerate(words) for run in LETTERS.findall(w.lower())]
     codes = np.frombuffer("".join(r for _, r in runs).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -44,7 +49,7 @@ def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             whole = left[:m] >= order
             if order == 1:
                 whole &= codes[:m] != 32
-            buckets.append((mix(key[whole] + np.uint64(order) * np.uint64(0x51ED27)) % np.uint64(BUCKETS)).astype(np.int64))
+            buckets.append((mix(key[whole] + np.uint64(order) * np.uint64(0x51ED27)) % np.uint64(size_of)).astype(np.int64))
             orders.append(np.full(whole.sum(), ORDERS.index(order)))
             owners.append(word[:m][whole])
     return np.concatenate(buckets), np.concatenate(orders), np.concatenate(owners)
@@ -64,12 +69,13 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-likelihoods (words, languages); all nan for a word without letters."""
-        parts = [self._some_scores(words[a : a + WORDS_AT_ONCE]) for a in range(0, len(words), WORDS_AT_ONCE)]
+        step = max(1, WORDS_AT_ONCE * MANY_LANGUAGES // max(MANY_LANGUAGES, len(self.languages)))
+        parts = [self._some_scores(words[a : a + step]) for a in range(0, len(words), step)]
         return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)))
 
     def _some_scores(self, words: list[str]) -> np.ndarray:
         out = np.full((len(words), len(self.languages)), np.nan)
-        buckets, orders, owners = ngram_buckets(words)
+        buckets, orders, owners = ngram_buckets(words, self.table.shape[1])
         order = np.argsort(owners, kind="stable")
         owners = owners[order]
         if len(owners):
@@ -138,39 +144,41 @@ def infer(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model of the languages of docs' rows for which `train` holds and lang is not null.
 
-    It is fitted on about `sample` documents of each of the MOST_LANGUAGES most frequent languages, whole texts, chosen by a hash of the id.
+    It is fitted on about `sample` documents of each language, whole texts, chosen by a hash of the id. Beyond MANY_LANGUAGES
+    languages n-grams share fewer buckets; no language is left out.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    found = rows.groupBy(F.col(lang_col).alias("lang")).count().collect()  # one row a language
     if not found:
         return Model([], np.zeros((len(ORDERS), BUCKETS, 0), np.float32))
     languages = sorted(r["lang"] for r in found)
+    width = n_buckets(len(languages))
     at = {lang: i for i, lang in enumerate(languages)}
     share = F.element_at(F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, sample / r["count"]))]), F.col("lang"))
-    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isin(languages))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(languages) * len(ORDERS) * BUCKETS, np.int64)
+        total = np.zeros(len(languages) * len(ORDERS) * width, np.int64)
         for batch in slices(batches, "text"):
             counts, ids, words = split_words(batch.column("text"))
             lang = np.repeat(np.array([at[x] for x in batch.column("lang").to_pylist()]), counts)
-            buckets, orders, owners = ngram_buckets(words.to_pylist())
+            buckets, orders, owners = ngram_buckets(words.to_pylist(), width)
             uses, back = np.unique(ids.astype(np.int64) * len(languages) + lang, return_counts=True)
             word_of, lang_of = uses // len(languages), uses % len(languages)
             by_word = np.argsort(owners, kind="stable")
             start = np.searchsorted(owners[by_word], np.arange(len(words) + 1))
             size = start[word_of + 1] - start[word_of]
             gram = by_word[np.repeat(start[word_of] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-            cell = (np.repeat(lang_of, size) * len(ORDERS) + orders[gram]) * BUCKETS + buckets[gram]
+            cell = (np.repeat(lang_of, size) * len(ORDERS) + orders[gram]) * width + buckets[gram]
             total += np.bincount(cell, np.repeat(back, size), minlength=len(total)).astype(np.int64)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
     cells = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most languages * orders * buckets rows
-    total = np.zeros((len(languages), len(ORDERS), BUCKETS))
+    total = np.zeros((len(languages), len(ORDERS), width))
     total.reshape(-1)[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    table = np.log((total + SMOOTHING) / (total.sum(2, keepdims=True) + SMOOTHING * BUCKETS)) / len(ORDERS)
+    table = np.log((total + SMOOTHING) / (total.sum(2, keepdims=True) + SMOOTHING * width)) / len(ORDERS)
     return Model(languages, np.ascontiguousarray(table.transpose(1, 2, 0)).astype(np.float32))
 
 

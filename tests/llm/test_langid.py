@@ -50,3 +50,16 @@ def test_em_finds_the_shares():
     grid = np.linspace(0.001, 0.999, 999)
     value = 30 * np.log(0.9 * grid + 0.1 * (1 - grid)) + 10 * np.log(0.1 * grid + 0.9 * (1 - grid))
     assert abs(share[0, 0] - grid[value.argmax()]) < 0.02 and abs(total[0] - value.max()) < 0.05
+
+
+def test_every_language_is_learned(spark):
+    """More languages than share the full buckets; the rarest ones are learned too."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{k:02}" for k in range(70)]
+    word = lambda k, j: letters[k % 26] + letters[k // 26] + letters[(k * 7 + j) % 26] + letters[k % 26]
+    rows = [(i, " ".join(word(i % 70, j % 3) for j in range(20 + i % 5)), names[i % 70]) for i in range(60 + 70 * 4)]  # the last ten occur least
+    docs = documents(spark, rows)
+    model = langid.learn(docs, F.lit(True))
+    assert model.languages == names and model.table.shape[1] < langid.BUCKETS
+    got = langid.predict(docs, model, extra=("lang",)).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got) and {r.lang_pred for r in got} == set(names)
