@@ -21,7 +21,7 @@ from docloom.llm.words import SLICE_BYTES, mix, slices, split_words
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
 #: Labelled documents of a language that are learned from (chosen by a hash of the id), and languages up to which each has BUCKETS buckets of n-grams.
 SAMPLE, MANY_LANGUAGES = 2000, 64
-ROUNDS, MOST_IN_SET, PENALTY, SMOOTHING = 10, 4, 3.0, 0.5
+ROUNDS, PENALTY, SMOOTHING = 10, 3.0, 0.5
 #: Distinct words that are scored at once, and languages up to which a slice of texts has its full size.
 WORDS_AT_ONCE, FEW_LANGUAGES = 16384, 8
 UNDETERMINED = "und"
@@ -124,7 +124,7 @@ def infer(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     value = single.max(1)
     price = PENALTY * np.log(size + 1.0)
     order = np.argsort(-share, axis=1, kind="stable")
-    for k in range(2, min(MOST_IN_SET, n_langs) + 1):
+    for k in range(2, n_langs + 1):
         # No set of k languages is likelier than all languages together: most documents end here.
         maybe = np.flatnonzero(full - (k - 1) * price > value)
         if not len(maybe):

@@ -63,3 +63,17 @@ def test_every_language_is_learned(spark):
     assert model.languages == names and model.table.shape[1] < langid.BUCKETS
     got = langid.predict(docs, model, extra=("lang",)).collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got) and {r.lang_pred for r in got} == set(names)
+
+
+def test_mixture_of_six_languages(spark):
+    syllables = [[c + v + c for v in "aeiou"] for c in "bdfgkmnpr"]
+
+    def of(seed, k, n):
+        r = random.Random(seed * 100 + k)
+        return " ".join("".join(r.choice(syllables[k]) for _ in range(2)) for _ in range(n))
+
+    rows = [(i, of(i, i % 9, 60), f"l{i % 9}") for i in range(180)] + [(500, " ".join(of(7, k, 80) for k in range(6)), None)]
+    docs = documents(spark, rows)
+    model = langid.learn(docs, F.col("doc_id") < 180)
+    found = langid.predict(docs.where("doc_id = 500"), model).first()
+    assert sorted(found.languages) == [f"l{k}" for k in range(6)] and all(abs(x - 1 / 6) < 0.03 for x in found.shares)
