@@ -27,14 +27,22 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates; rows with a null id stay."""
+    """One row of each component of near duplicates: that with the smallest id, of equal ids the one whose text has the least hash.
+
+    Rows with equal ids are documents each for itself, so of exact repeats one stays, and an id's other texts stay unless they are near
+    duplicates themselves. Rows with a null id, and texts without words, stay.
+    """
     ensure_importable(spark)
-    found = jaccard.join(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    gone = materialize(gone, "gone")
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    linked = jaccard.join(numbered.where("doc_id is not null").select("__row", "text"), "__row").where("component_id <> __row")
+    linked = materialize(linked.select("__row", F.col("component_id").alias("__of")), "linked")
+    members = linked.unionByName(linked.select(F.col("__of").alias("__row"), "__of").distinct())
+    ranked = numbered.select("__row", F.struct(F.col("doc_id"), F.xxhash64("text"), F.col("__row").alias("row")).alias("rank")).join(members, "__row")
+    stay = ranked.groupBy("__of").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("__row"))
+    gone = materialize(members.select("__row").join(stay, "__row", "left_anti"), "gone")
     if gone.count() <= jaccard.SMALL:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return numbered.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,10 @@ def test_stages_on_odd_rows(spark):
             assert out.where("not round_trip").count() == 0 and out.count() == len(rows)
         nothing = stage(spark, docs.limit(0), DATA)
         assert nothing.count() == 0, name
+
+
+def test_near_duplicates_go_by_row(spark):
+    """Of exact repeats one stays; an id's other text stays when one of its texts is a copy."""
+    rows = [(1, words(1, 40)), (2, words(1, 40)), (2, words(2, 40)), (3, words(3, 40)), (3, words(3, 40)), (3, words(3, 40)), (4, words(3, 40)), (5, ""), (None, words(1, 40))]
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), DATA).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", words(1, 40)), ("2", words(2, 40)), ("3", words(3, 40)), ("5", ""), ("None", words(1, 40))])
