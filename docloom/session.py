@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -30,10 +31,12 @@ def ensure_importable(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that setting is absent (local runs and tests) a folder of this machine is made.
+    Only where that setting is absent and all runs in this one process (local runs and tests) a folder of this machine is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         found = getattr(spark, "_docloom_dir", None) or tempfile.mkdtemp(prefix="docloom-")
         spark._docloom_dir = found
     return found.rstrip("/")
@@ -50,14 +53,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._docloom_path = path
+    return found
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what materialize wrote for df, once whatever reads it has been written."""
+    path = getattr(df, "_docloom_path", None)
+    if path in _written:
+        _written.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clean(spark: SparkSession) -> None:
     """Delete what this process has materialized; results that were not written out yet can no longer be read then."""
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
