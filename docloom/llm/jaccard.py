@@ -1,11 +1,13 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are alike, by prefix filters and prefix trees, exactly.
 
 Equal sets are one class. All n-grams have one global order, frequent ones last; two sets that are alike share one of the first
-few n-grams (the prefix). Classes that share a prefix n-gram are compared in two rounds, so that a group of copies never meets pair by pair:
-first each with the smallest class of each of its prefix n-grams, then, where a group still has several components, across these.
-Filters on lengths, positions and a parity sketch drop pairs that cannot be alike. What is left is joined exactly in bounded
-blocks: a trie of the ordered sets is walked with each set, sharing the overlap of common beginnings and leaving
-subtrees that are too short or in which too little can still match. Links are exact; components follow by star contraction.
+few n-grams (the prefix). Candidates come in two rounds, so that a group of copies never meets pair by pair: first each class
+with one head of each of its prefix n-grams, then, where a group still falls apart, its parts within bounded tiles. Filters on lengths,
+positions and a parity sketch drop pairs that cannot be alike; a tile gives out no pairs, but a forest that connects the candidates it
+found. All that such forests connect is a cluster, and every alike pair lies within one. A cluster's sets are sent once to a
+bounded block, where a trie of the globally ordered sets is walked with each set, sharing the overlap of common beginnings and leaving
+subtrees that are too short or in which too little can still match. A cluster beyond a block is first joined with its heads; then
+its largest part meets, block by block, only what lies outside that part. Links are exact; components follow by star contraction.
 """
 
 from __future__ import annotations
@@ -19,29 +21,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.words import hashes, mix, slices, split_words
-from docloom.session import materialize, partitions
+from docloom.session import forget, materialize, partitions
 
 N = 5
 #: Sets are alike if intersection / union >= NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
 #: An n-gram in this share of a slice's documents is reported as frequent; most frequent n-grams that the order knows.
 FREQUENT, MOST_FREQUENT = 1 / 500, 200_000
-#: Sets of a trie block, members of a group that are compared at once, rows of groups handled together, bits of the largest sketch, ids that may be broadcast.
-BLOCK, TILE, BUCKET, SKETCH_BITS, SMALL = 256, 1024, 100_000, 1 << 15, 1_000_000
-#: Edges that a task turns into a forest at once.
-EDGES = 1_000_000
+#: Members of a group that are compared at once, rows of groups handled together, bits of the largest sketch, rows that may be broadcast.
+TILE, BUCKET, SKETCH_BITS, SMALL = 1024, 100_000, 1 << 15, 1_000_000
+#: Sets of a block of tries and their bytes; bytes of the blocks that a call handles one after the other.
+BLOCK, BLOCK_BYTES, CALL_BYTES = 1024, 8 << 20, 4 << 20
+#: Edges that a task turns into a forest at once, and pairs after which a bucket does.
+EDGES, PAIRS = 1_000_000, 200_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Numbers from here on stand for frequent n-grams.
+TOP = np.uint64(1 << 63)
 
 
 def shingle_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
-    """For each text the sorted 64-bit hashes of its distinct word n-grams; with fewer words, of the whole sequence; none without words."""
+    """For each text the sorted 63-bit hashes of its distinct word n-grams; with fewer words, of the whole sequence; none without words."""
     counts, ids, words = split_words(texts)
     h = mix(hashes(words) + np.uint64(1))[ids] if len(ids) else np.zeros(0, np.uint64)
     m = max(len(h) - n + 1, 0)
     grams = np.zeros(m, np.uint64)
     for k in range(n):
         grams = grams * FACTOR + h[k : k + m]
-    grams = mix(grams)
+    grams = mix(grams) >> np.uint64(1)
     out = []
     for end, count in zip(np.cumsum(counts), counts, strict=True):
         if count >= n:
@@ -50,7 +56,7 @@ def shingle_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
             value = int(count)
             for x in h[end - count : end].tolist():
                 value = (value * int(FACTOR) + x) % (1 << 64)
-            out.append(mix(np.array([value ^ 0x5BD1E995], np.uint64)))
+            out.append(mix(np.array([value ^ 0x5BD1E995], np.uint64)) >> np.uint64(1))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -67,11 +73,22 @@ def sketch(grams: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mix(grams) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
-def node_of(grams: np.ndarray) -> int:
-    """A number for a set: equal sets have equal ones."""
-    m = mix(grams)
-    both = np.array([m.sum(dtype=np.uint64), mix(grams ^ FACTOR).sum(dtype=np.uint64)])
-    return int(mix(both[:1] ^ mix(both[1:] + np.uint64(len(grams)))).view(np.int64)[0])
+def keys_of(grams: np.ndarray) -> tuple[int, int]:
+    """Two numbers for a set: equal sets have equal ones, others differ but for an accident of 128 bits."""
+    m, size = mix(grams), np.uint64(len(grams))
+    sums = np.array([m.sum(dtype=np.uint64), mix(grams ^ FACTOR).sum(dtype=np.uint64)])
+    return tuple(mix(np.array([sums[0] ^ mix(sums[1:] + size)[0], sums[1] + mix(sums[:1] ^ size)[0]])).view(np.int64).tolist())
+
+
+def ordinals(grams: np.ndarray, frequent: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A set's n-grams as numbers that ascend in the global order: rare ones by hash, then the frequent ones by their place."""
+    numbers = grams.copy()
+    if len(frequent) and len(grams):
+        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+        known = frequent[at] == grams
+        numbers[known] = TOP | place[at[known]]
+        numbers.sort()
+    return numbers
 
 
 def _folded(data: bytes, size: int) -> np.ndarray:
@@ -89,32 +106,21 @@ def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(count[often])], names=["gram", "df"])
 
 
-def _indexer(frequent: np.ndarray, df: np.ndarray) -> Callable:
+def _indexer(frequent: np.ndarray, place: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = []
             for grams in shingle_sets(batch.column("text")):
-                ordered, rank = in_order(grams, frequent, df)
                 size = len(grams)
                 prefix = size - -(-NUMERATOR * size // DENOMINATOR) + 1 if size else 0
-                rows.append((size, node_of(grams), sketch(grams) if size else b"", ordered[:prefix].view(np.int64), int((rank[:prefix] == 0).sum())))
+                rows.append((size, *keys_of(grams), sketch(grams) if size else b"", ordinals(grams, frequent, place)[:prefix].view(np.int64)))
             columns = list(zip(*rows, strict=True))
-            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["id", "n", "node", "sketch", "prefix", "rare"])
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["id", "n", "h1", "h2", "sketch", "prefix"])
 
     return run
 
 
-def in_order(grams: np.ndarray, frequent: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """grams in the global order, with the documents that each of the frequent ones is known to be in (0 for others, which come first, by hash)."""
-    rank = np.zeros(len(grams), np.int64)
-    if len(frequent) and len(grams):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        rank = np.where(frequent[at] == grams, df[at], 0)
-    order = np.lexsort((grams, rank))
-    return grams[order], rank[order]
-
-
 class Trie:
     """A prefix tree of ordered sets; a node holds a run of items that all sets below share."""
 
@@ -156,12 +162,11 @@ def alike(overlap: int, a: int, b: int) -> bool:
     return DENOMINATOR * overlap >= NUMERATOR * (a + b - overlap)
 
 
-def trie_links(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set (distinct non-empty ones) the smallest index of a set that links lead to, by an exact trie join."""
-    grams, counts = np.unique(np.concatenate(sets), return_counts=True)
-    place = np.empty(len(grams), np.int64)
-    place[np.lexsort((grams, -counts))] = np.arange(len(grams))  # the block's order: what most sets have comes first, and is shared
-    ordered = [np.sort(place[np.searchsorted(grams, s)]) for s in sets]
+def trie_links(sets: list[np.ndarray], known: list[int] | None = None) -> np.ndarray:
+    """For each set (distinct non-empty ones, ascending in the global order) the smallest index of a set that links lead to, by an exact trie join.
+
+    known: sets with equal numbers are linked already.
+    """
     parent = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -173,6 +178,19 @@ def trie_links(sets: list[np.ndarray]) -> np.ndarray:
     def same(i: int, j: int) -> bool:
         return find(i) == find(j)
 
+    def unite(i: int, j: int) -> None:
+        low, high = sorted((find(i), find(j)))
+        parent[high] = low
+
+    first: dict[int, int] = {}
+    for i, k in enumerate(known or []):
+        unite(first.setdefault(k, i), i)
+    if len(sets) == 2:
+        if not same(0, 1) and alike(len(np.intersect1d(*sets, assume_unique=True)), len(sets[0]), len(sets[1])):
+            unite(0, 1)
+        return np.array([find(0), find(1)])
+    grams, places = np.unique(np.concatenate(sets), return_inverse=True)
+    ordered = np.split(places, np.cumsum([len(s) for s in sets])[:-1])
     root = Trie(np.zeros(0, np.int64))
     has = np.zeros(len(grams), bool)
     for q in sorted(range(len(sets)), key=lambda i: len(ordered[i])):
@@ -188,11 +206,10 @@ def trie_links(sets: list[np.ndarray]) -> np.ndarray:
             if DENOMINATOR * node.longest < NUMERATOR * size:
                 continue
             if len(node.items):
-                overlap += int(has[node.items].sum())
+                overlap += int(np.count_nonzero(has[node.items]))
                 depth += len(node.items)
             if node.member >= 0 and node.member != q and not same(node.member, q) and alike(overlap, len(ordered[node.member]), size):
-                a, b = sorted((find(node.member), find(q)))
-                parent[b] = a
+                unite(node.member, q)
             if node.children:
                 past = int(node.items[-1]) + 1 if len(node.items) else 0
                 left = size - int(upto[past] if upto is not None else np.searchsorted(items, past))
@@ -206,45 +223,55 @@ def trie_links(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([find(i) for i in range(len(sets))])
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges (u, v) of each stretch of a partition as stars: from every node to the smallest one that they lead to."""
-
-    def stars(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        u, v = (np.concatenate([np.asarray(p.column(c)) for p in parts]) for c in ("u", "v"))
-        nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-        a, b = ends[: len(u)], ends[len(u) :]
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[a], label[b])
-            best = label.copy()
-            for side in (a, b):
-                np.minimum.at(best, label[side], low)
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges (u, v) as stars: from every node but the smallest of its component to that one."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        best = label.copy()
+        for side in (a, b):
+            np.minimum.at(best, label[side], low)
+        best = best[best]
+        while (best[best] != best).any():
             best = best[best]
-            while (best[best] != best).any():
-                best = best[best]
-            if (best[label] == label).all():
-                break
-            label = best[label]
-        leaf = label != np.arange(len(nodes))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[label[leaf]])], names=["u", "v"])
+        if (best[label] == label).all():
+            break
+        label = best[label]
+    leaf = label != np.arange(len(nodes))
+    return nodes[leaf], nodes[label[leaf]]
+
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of each stretch of a partition as stars."""
     held: list[pa.RecordBatch] = []
+
+    def stars() -> pa.RecordBatch:
+        found = _stars(*(np.concatenate([np.asarray(p.column(c)) for p in held]) for c in ("u", "v")))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["u", "v"])
+
     for batch in batches:
         held.append(batch)
         if sum(x.num_rows for x in held) >= EDGES:
-            yield stars(held)
+            yield stars()
             held = []
     if sum(x.num_rows for x in held):
-        yield stars(held)
+        yield stars()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): for each node of edges (u, v) the smallest node that edges lead to; rounds of large-star and small-star over local forests."""
+    """(node, component): for each node of edges (u, v) the smallest node that edges lead to.
+
+    Up to EDGES edges are one task's work; more of them go through rounds of large-star and small-star over local forests.
+    """
     kind = "u long, v long"
     e = materialize(edges.select("u", "v").where("u <> v").mapInArrow(_forest, kind).distinct(), "edges")
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(e)
-    while before[0]:
+    before, written = mark(e), e
+    if before[0] <= EDGES:
+        e = e.coalesce(1).mapInArrow(_forest, kind)
+    while before[0] > EDGES:
         e = e.mapInArrow(_forest, kind)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -252,12 +279,15 @@ def components(edges: DataFrame) -> DataFrame:
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         small = e.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         e = materialize(small.where("u <> v").distinct(), "edges")
-        after = mark(e)
+        forget(written)
+        after, written = mark(e), e
         if after == before:
             break
         before = after
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = materialize(stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    forget(written)
+    return found
 
 
 def _could_link(a_n: str, b_n: str) -> F.Column:
@@ -301,10 +331,11 @@ def _sketch_fits(sketches: list[np.ndarray], where: np.ndarray, words: np.ndarra
 
 
 def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs within the groups (gram, i, j) of a bucket that are in different components and can be alike.
+    """A forest (u, v) of the candidates within the groups (gram, i, j) of a bucket that are not connected yet.
 
     All groups advance together. A group's components stand one after the other, the largest first, and a row meets the rows behind
-    its component only, so that a large component costs no more than the rows that are not in it.
+    its component only, so that a large component costs no more than the rows that are not in it. Pairs that
+    found ones connect are not looked at again.
     """
     rows = rows.assign(own=rows.groupby(["gram", "i", "j", "component"])["node"].transform("size"))
     rows = rows.sort_values(["gram", "i", "j", "own", "component"], ascending=[True, True, True, False, True], kind="stable")
@@ -324,49 +355,134 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
         at = np.flatnonzero(words == w)
         where[at] = np.arange(len(at))
         sketches.append(np.frombuffer(b"".join(rows.sketch.iloc[at]), np.uint64).reshape(len(at), 1 << w))
-    out = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    label, waiting = component.copy(), 0
+
+    def contract() -> None:
+        """What was found becomes a forest, and the rows' labels follow it."""
+        nonlocal held, label, waiting
+        u, v = _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held, waiting = [(u, v)], 0
+        if len(u):
+            at = np.minimum(np.searchsorted(u, component), len(u) - 1)
+            label = np.where(u[at] == component, v[at], component)
+
     a = np.arange(len(gram))
     for distance in range(int((end - behind).max(initial=0))):
         a = a[behind[a] + distance < end[a]]
         b = behind[a] + distance
-        may = (i[a] == j[a]) | (side[a] != side[b])
+        may = (label[a] != label[b]) & ((i[a] == j[a]) | (side[a] != side[b]))
         may &= np.minimum(n[a], n[b]) * DENOMINATOR >= np.maximum(n[a], n[b]) * NUMERATOR
         may &= np.minimum(n[a] - pos[a], n[b] - pos[b]) * (NUMERATOR + DENOMINATOR) >= (n[a] + n[b]) * NUMERATOR
         x, y = a[may], b[may]
         if len(x):
             fits = _sketch_fits(sketches, where, words, x, y, n[x] + n[y])
             if fits.any():
-                out.append(np.stack([np.maximum(node[x[fits]], node[y[fits]]), np.minimum(node[x[fits]], node[y[fits]])], 1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
-def _join_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links from each set of a block to the smallest one that it is connected with."""
-    rows = rows.drop_duplicates("node").sort_values("node")
-    ids = rows.node.to_numpy()
-    to = trie_links([np.frombuffer(s, np.uint64) for s in rows.grams])
-    return pd.DataFrame({"u": ids, "v": ids[to]})[to != np.arange(len(ids))]
-
-
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact links (u, v) among the sets of pairs (a, b), at least those that connect all alike pairs: for each b blocks of its a."""
-    pairs = materialize(pairs, "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(classes.select("node", "id").join(nodes, "node", "left_semi").select("id").distinct(), "wanted")
-    if wanted.count() <= SMALL:
-        wanted = F.broadcast(wanted)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
-
-    sets = materialize(docs.join(wanted, "id", "left_semi").mapInArrow(read, "node long, grams binary"), "sets")
-    blocks = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / (BLOCK - 1)).alias("blocks"))
-    members = pairs.join(blocks, "b").select("b", F.pmod(F.xxhash64("a"), "blocks").alias("block"), F.col("a").alias("node"))
-    heads = blocks.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("b").alias("node"))
-    return materialize(members.unionByName(heads).join(sets, "node").groupBy("b", "block").applyInPandas(_join_block, "u long, v long"), "links")
+                held.append((component[x[fits]], component[y[fits]]))
+                waiting += int(fits.sum())
+                if waiting > PAIRS or distance < 4 or distance & (distance - 1) == 0:
+                    contract()
+    if held:
+        contract()
+    u, v = held[0] if held else (np.zeros(0, np.int64),) * 2
+    return pd.DataFrame({"u": u, "v": v})
+
+
+def _join_blocks(rows: pa.Table) -> pa.Table:
+    """Links from each set (node, known, grams) of a block to the smallest one that it is connected with; all blocks of a call."""
+    block, node, known = (rows.column(c).to_numpy() for c in ("block", "node", "known"))
+    order = np.lexsort((node, block))
+    grams = rows.column("grams")
+    u, v = [], []
+    fresh = np.r_[True, (np.diff(block[order]) != 0) | (np.diff(node[order]) != 0)][: len(order)]
+    order = order[fresh]
+    for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        if len(part) > 1:
+            to = part[trie_links([np.frombuffer(grams[int(k)].as_buffer(), np.uint64) for k in part], known[part].tolist())]
+            u.append(node[part[to != part]])
+            v.append(node[to[to != part]])
+    none = np.zeros(0, np.int64)
+    return pa.table({"u": pa.array(np.concatenate([none, *u])), "v": pa.array(np.concatenate([none, *v]))})
+
+
+class _Sets:
+    """The sets of classes, read again from the documents that stand for them."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, frequent: np.ndarray, place: np.ndarray):
+        self.docs, self.classes, self.frequent, self.place = docs, classes, frequent, place
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """(node, grams) for each of nodes."""
+        wanted = materialize(self.classes.select("node", "id", "h1", "h2").join(nodes.select("node").distinct(), "node", "left_semi"), "wanted")
+        if wanted.count() <= SMALL:
+            wanted = F.broadcast(wanted)
+        frequent, place = self.frequent, self.place
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in slices(batches, "text"):
+                nodes, own = batch.column("node").to_pylist(), []
+                sets = shingle_sets(batch.column("text"))
+                keys = list(zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True))
+                for k, s in enumerate(sets):
+                    if nodes[k] not in seen and keys_of(s) == keys[k]:  # an id may stand for several rows and other texts
+                        seen.add(nodes[k])
+                        own.append(k)
+                grams = pa.array([ordinals(sets[k], frequent, place).tobytes() for k in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(own, pa.int64())), grams], names=["node", "grams"])
+
+        return self.docs.join(wanted, "id").select("node", "h1", "h2", "text").mapInArrow(read, "node long, grams binary")
+
+    def links(self, placed: DataFrame) -> DataFrame:
+        """Exact links (u, v) within the blocks of placed (block, node, known, n), at least those that connect all alike pairs."""
+        placed = materialize(placed, "placed")
+        total = placed.agg(F.sum(F.col("n").cast("long") * 8)).first()[0] or 0
+        calls = max(partitions(self.docs.sparkSession), -(-total // CALL_BYTES))
+        dealt = placed.drop("n").withColumn("call", F.pmod(F.xxhash64("block"), F.lit(calls)))
+        if dealt.count() <= SMALL:
+            dealt = F.broadcast(dealt)
+        links = materialize(self.of(placed).join(dealt, "node").groupBy("call").applyInArrow(_join_blocks, "u long, v long"), "links")
+        forget(placed)
+        return links
+
+
+def _exact(sets: _Sets, clusters: DataFrame, stars: DataFrame) -> DataFrame:
+    """(node, component) of all linked classes, exactly. clusters: (node, component) within which all links are; stars: candidates (a, b) that joins start from."""
+    sized = sets.classes.select("node", "n").join(clusters, "node")
+    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("long")
+    tiled = materialize(sized.groupBy("component").agg(tiles.alias("tiles")), "tiles")
+    sized = sized.join(_few(tiled), "component")
+    one = sized.where("tiles = 1").select(F.xxhash64(F.lit(0), "component").alias("block"), "node", F.col("node").alias("known"), "n")
+    large = materialize(sized.where("tiles > 1"), "large")
+    if not large.count():
+        return components(sets.links(one))
+    # A large cluster's sets against their heads first, in blocks of a head's candidates.
+    n_of = large.select("node", "n")
+    ends = stars.join(n_of.withColumnRenamed("node", "a"), "a").join(n_of.select(F.col("node").alias("b"), F.col("n").alias("b_n")), "b")
+    blocks = ends.groupBy("b").agg(F.first("b_n").alias("b_n"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("long").alias("blocks"))
+    members = ends.drop("b_n").join(blocks, "b").select(F.xxhash64("b", F.pmod(F.xxhash64("a"), "blocks")).alias("block"), F.col("a").alias("node"), F.col("a").alias("known"), "n")
+    heads = blocks.select(F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.xxhash64("b", k))).alias("block"), F.col("b").alias("node"), F.col("b").alias("known"), F.col("b_n").alias("n"))
+    known = components(sets.links(members.unionByName(heads)))
+    # Then a cluster's largest part against what lies outside, and that against itself.
+    parts = large.join(_few(known.withColumnRenamed("component", "known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    sizes = materialize(parts.groupBy("component", "known").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams")), "parts")
+    inner = sizes.groupBy("component").agg(F.max_by("known", F.struct("m", "known")).alias("inner"), F.max("m").alias("most"), F.sum("m").alias("m"), F.sum("grams").alias("all"), F.max_by("grams", F.struct("m", "known")).alias("grams"))
+    count = lambda m, grams: F.ceil(F.greatest(m / BLOCK, grams * 8 / BLOCK_BYTES)).cast("long")
+    inner = inner.select("component", "inner", count(F.col("most"), F.col("grams")).alias("t_in"), count(F.col("m") - F.col("most"), F.col("all") - F.col("grams")).alias("t_out")).where("t_out > 0")
+    parts = parts.drop("tiles").join(_few(materialize(inner, "inner")), "component")
+    is_in = F.col("known") == F.col("inner")
+    tile = F.pmod(F.xxhash64(F.lit(5), "node"), F.when(is_in, F.col("t_in")).otherwise(F.col("t_out")))
+    upto = lambda t: F.sequence(F.lit(0).cast("long"), t - 1)
+    met_in = F.transform(upto(F.col("t_out")), lambda o: F.xxhash64(F.lit(1), "component", F.col("tile"), o))
+    met_out = F.concat(F.transform(upto(F.col("t_in")), lambda k: F.xxhash64(F.lit(1), "component", k, F.col("tile"))), F.transform(upto(F.col("t_out")), lambda o: F.xxhash64(F.lit(2), "component", F.greatest(o, F.col("tile")), F.least(o, F.col("tile")))))
+    rest = parts.withColumn("tile", tile).select(F.explode(F.when(is_in, met_in).otherwise(met_out)).alias("block"), "node", "known", "n")
+    more = sets.links(one.unionByName(rest))
+    return components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df, which was materialized, to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,38 +492,37 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     empty for a null or blank text. Two documents link if their sets' intersection is at least 4/5 of their union;
     component_id is the smallest id that links lead to, the own one included. An empty set links with nothing. Rows with equal ids are
     documents each for itself. A row with a null id takes no part and has a null component. Other columns are
-    neither read nor returned; an empty table gives no rows. Sets are compared by 64-bit hashes of n-grams.
+    neither read nor returned; an empty table gives no rows. N-grams are compared by 63-bit hashes, whole sets by 128-bit ones.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     reports = rows.select("text").mapInArrow(_reports, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
     most = reports.where("df >= 8").orderBy(F.desc("df"), "gram").limit(MOST_FREQUENT).toArrow()  # a bounded list; any list gives the same links
     frequent = most["gram"].to_numpy().view(np.uint64)
     order = np.argsort(frequent)
-    index = rows.mapInArrow(_indexer(frequent[order], most["df"].to_numpy()[order]), "id long, n int, node long, sketch binary, prefix array<bigint>, rare int")
-    index = materialize(index, "index")
+    frequent, place = frequent[order], np.arange(len(frequent), dtype=np.uint64)[::-1][order]  # the most frequent one is the last of all
+    index = materialize(rows.mapInArrow(_indexer(frequent, place), "id long, n int, h1 long, h2 long, sketch binary, prefix array<bigint>"), "index")
 
-    classes = index.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "sketch", "prefix", "rare"), "id").alias("x"))
-    classes = materialize(classes.select("node", "id", "x.*"), "classes")
-    entries = classes.select("node", "n", "rare", F.posexplode("prefix").alias("pos", "gram"))
-    head = F.min(F.struct("node", "n", "pos"))
+    classes = index.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "sketch", "prefix"), "id").alias("x"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "id", "x.*"), "classes")
+    entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
+    head = F.min(F.struct("pos", "node", "n"))  # of near copies that with the fewest n-grams of its own, which come first in the order
     by_gram = Window.partitionBy("gram")
-    rare = entries.where("pos < rare").withColumn("df", F.count(F.lit(1)).over(by_gram)).withColumn("head", head.over(by_gram)).where("df > 1")
-    common = entries.where("pos >= rare")  # of at most MOST_FREQUENT n-grams
+    rare = entries.where("gram >= 0").withColumn("df", F.count(F.lit(1)).over(by_gram)).withColumn("head", head.over(by_gram)).where("df > 1")
+    common = entries.where("gram < 0")  # of at most MOST_FREQUENT n-grams
     heads = common.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), head.alias("head")).where("df > 1")
-    columns = ["gram", "node", "n", "pos", "df", "head"]
+    columns = ["gram", "node", "n", "pos", "head"]
     shared = materialize(rare.select(columns).unionByName(common.join(F.broadcast(heads), "gram").select(columns)), "shared")
 
-    # First round: every class against the smallest class of each of its n-grams.
-    stars = shared.where("node <> head.node").groupBy(F.col("node").alias("a"), F.col("head.node").alias("b")).agg(F.min(F.struct(F.col("pos").alias("a_pos"), F.col("head.pos").alias("b_pos"), F.col("n").alias("a_n"), F.col("head.n").alias("b_n"))).alias("x")).select("a", "b", "x.*")
-    stars = stars.where(_could_link("a_n", "b_n") & _position_ok("a_n", "a_pos", "b_n", "b_pos"))
+    # First round: every class against the head of each of its n-grams.
+    ends = shared.where("node <> head.node").select(F.col("node").alias("a"), F.col("head.node").alias("b"), "pos", F.col("head.pos").alias("b_pos"), "n", F.col("head.n").alias("b_n"))
+    ends = ends.where(_could_link("n", "b_n") & _position_ok("n", "pos", "b_n", "b_pos")).groupBy("a", "b").agg(F.first("n").alias("a_n"), F.first("b_n").alias("b_n"))
     sketches = classes.select("node", "sketch")
-    stars = stars.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("a_sketch")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("b_sketch")), "b")
-    links = _verify(rows, classes, stars.mapInArrow(_by_sketch, "a long, b long"))
-    first = materialize(components(links), "first")
+    ends = ends.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("a_sketch")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("b_sketch")), "b")
+    stars = materialize(ends.mapInArrow(_by_sketch, "a long, b long"), "stars")
+    first = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # Second round: groups that still have several components, each distinct group once, in tiles.
-    few = F.broadcast if first.count() <= SMALL else (lambda x: x)
-    known = shared.join(few(first), "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
+    known = shared.drop("head").join(_few(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
     who = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"who{k}") for k in (1, 2)]
     split = known.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df"), F.sum("pos").alias("at"), *who)
     # Of n-grams that the same sets have, only the first one can be the first that two of them share.
@@ -418,20 +533,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # A tile meets itself and, as the second side, each tile before it.
     other = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
     placed = left.select("gram", "node", "n", "pos", "component", F.explode(F.transform(other, lambda o: F.struct(F.greatest(o, "tile").alias("i"), F.least(o, "tile").alias("j"), F.when(o > F.col("tile"), 1).otherwise(0).alias("side")))).alias("t")).select("*", "t.*").drop("t")
-    placed = placed.join(sketches, "node")
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(buckets)))
-    pairs = placed.groupBy("bucket").applyInPandas(_across, "a long, b long").distinct()
-    # What the second round links are whole components of the first; the rest of the graph is settled.
-    found = _verify(rows, classes, pairs)
-    for end in ("u", "v"):
-        found = found.join(few(first.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))), end, "left").withColumn(end, F.coalesce(f"{end}_component", end)).drop(f"{end}_component")
-    second = components(found)
-    merged = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
-    final = merged.unionByName(second.join(first, "node", "left_anti"))
-
-    labelled = classes.select("node", "id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = placed.join(sketches, "node").withColumn("bucket", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(buckets)))
+    second = components(placed.groupBy("bucket").applyInPandas(_across, "u long, v long"))
+    forget(shared)
+    whole = second.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    clusters = first.join(_few(whole), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    clusters = materialize(clusters.unionByName(second.join(_few(first.select("node")), "node", "left_anti")), "clusters")
+
+    final = _exact(_Sets(rows, classes, frequent, place), clusters, stars)
+    labelled = classes.select("h1", "h2", "node", "id").join(_few(final), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
-    labelled = labelled.join(smallest, "component").select("node", "component_id")
-    found = index.select("id", "n", "node").join(labelled, "node", "left")
+    labelled = labelled.join(smallest, "component").select("h1", "h2", "component_id")
+    found = index.select("id", "n", "h1", "h2").join(labelled, ["h1", "h2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("id")))
     return found.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
