@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from docloom.functions import limits
-from docloom.functions.limits import ConversionError, detect_format
+from docloom.functions.limits import ConversionError, detect_format, error_info
 from docloom.kernels.archive import Archive
 from docloom.kernels.base import Context, Result, Sections, heading, utf8_size
 from docloom.kernels.book import convert_epub
@@ -24,26 +24,32 @@ Kernel = Callable[[bytes, Context], Result]
 FATAL = {"UNSAFE_ARCHIVE", "ARCHIVE_DEPTH", "OUTPUT_TOO_LARGE", "PDF_LIMIT", "IMAGE_LIMIT", "PPTX_LIMIT", "MODEL_TIMEOUT", "TIMEOUT"}
 
 
+def _entry(archive: Archive, name: str, context: Context) -> tuple[str | None, list[str]]:
+    """(section, warnings) of an archive's entry; only what is FATAL ends the archive, all else that fails is a warning."""
+    try:
+        fmt = detect_format(name)
+    except ConversionError:
+        return None, [f"Skipped unsupported file: {name}"]
+    try:
+        inner = convert(name, archive.read(name), context, fmt)
+    except Exception as error:  # also a defect of a kernel: the other entries go on
+        code, message = error_info(error)
+        if code in FATAL:
+            raise
+        return None, [f"{name}: {message}"]
+    return f"## {heading(name)}\n\n{inner.markdown}", [f"{name}: {w}" for w in inner.warnings]
+
+
 def convert_zip(data: bytes, context: Context) -> Result:
-    if context.depth >= limits.ARCHIVE_DEPTH:
+    if context.depth == limits.ARCHIVE_DEPTH:
         raise ConversionError("ARCHIVE_DEPTH", "ZIP nesting exceeds three levels.")
-    archive = Archive(data, context)
-    sections, warnings = Sections("Combined archive output exceeds 10 MiB."), []
-    for entry in archive.files():
-        try:
-            fmt = detect_format(entry.name)
-        except ConversionError:
-            warnings.append(f"Skipped unsupported file: {entry.name}")
-            continue
-        try:
-            result = convert(entry.name, archive.read(entry.name), replace(context, depth=context.depth + 1), fmt)
-            sections.add(f"## {heading(entry.name)}\n\n{result.markdown}")
-            warnings += [f"{entry.name}: {w}" for w in result.warnings]
-        except ConversionError as error:
-            if error.code in FATAL:
-                raise
-            warnings.append(f"{entry.name}: {error.message}")
-    return Result("\n---\n\n".join(sections.parts) or "_No convertible files in this archive._\n", warnings)
+    archive, below = Archive(data, context), replace(context, depth=context.depth + 1)
+    out, warnings = Sections("Combined archive output exceeds 10 MiB."), []
+    for section, notes in (_entry(archive, e.name, below) for e in archive.files()):
+        if section is not None:
+            out.add(section)
+        warnings += notes
+    return Result("\n---\n\n".join(out.parts) or "_No convertible files in this archive._\n", warnings)
 
 
 KERNELS: dict[str, Kernel] = {

@@ -8,10 +8,9 @@ from dataclasses import dataclass, field
 
 from docloom.functions import limits
 from docloom.functions.limits import ConversionError
-from docloom.kernels.archive import Archive
+from docloom.kernels.archive import Archive, relative_path
 from docloom.kernels.base import Context, Result, decode_text, heading, table, unique
 from docloom.kernels.numfmt import BUILT_IN, shown
-from docloom.kernels.presentation import resolve
 from docloom.kernels.xmltree import Element, parse_xml
 
 ERRORS = {0x00: "#NULL!", 0x07: "#DIV/0!", 0x0F: "#VALUE!", 0x17: "#REF!", 0x1D: "#NAME?", 0x24: "#NUM!", 0x2A: "#N/A"}
@@ -134,7 +133,7 @@ class _Xlsx:
         target = rel.get("Target") if rel is not None else None
         if not target:
             return sheet
-        path = target.lstrip("/") if target.startswith("/") else resolve(["xl"], target, invalid("Cannot read workbook: bad sheet path"))
+        path = target.lstrip("/") if target.startswith("/") else relative_path("xl/workbook.xml", target, invalid("Cannot read workbook: bad sheet path"))
         if not self.archive.has(path) or "worksheet" not in (rel.get("Type") or ""):
             return sheet
         root = self.part(path)

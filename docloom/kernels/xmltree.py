@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from xml.parsers import expat
 
 from docloom.functions.limits import TREE_DEPTH, TREE_NODES, ConversionError
@@ -38,6 +38,16 @@ class Element:
                 yield e
             stack.extend(e.elements()[::-1])
 
+    def visit(self, handlers: Mapping[str, Callable[[Element], None]]) -> None:
+        """Hand each element below to the handler of its name, in document order; what an element with a handler holds is that one's affair."""
+        waiting = self.elements()[::-1]
+        while waiting:
+            e = waiting.pop()
+            if e.name in handlers:
+                handlers[e.name](e)
+            else:
+                waiting.extend(e.elements()[::-1])
+
     def first(self, name: str) -> Element | None:
         return next(self.find_all(name), None)
 
