@@ -94,21 +94,6 @@ def detect_format(name: str, mime: str | None = None, override: str = "auto") ->
     return found
 
 
-def validate_files(files: list[tuple[str, int]]) -> None:
-    """Check a batch of (name, size); the first rule that is broken, in order of files, is raised."""
-    if not files:
-        raise ConversionError("EMPTY_BATCH", "Select at least one file.")
-    if len(files) > MAX_FILES:
-        raise ConversionError("TOO_MANY_FILES", f"Select up to {MAX_FILES} files per batch.")
-    for name, size in files:
-        if not isinstance(name, str) or not name or isinstance(size, bool) or not isinstance(size, int) or not 0 <= size < 2**53:
-            raise ConversionError("INVALID_FILE", "The file selection is invalid.")
-        if size > MAX_FILE_BYTES:
-            raise ConversionError("FILE_TOO_LARGE", f"{name} exceeds the 20 MB file limit.")
-    if sum(size for _, size in files) > MAX_BATCH_BYTES:
-        raise ConversionError("BATCH_TOO_LARGE", "Select at most 100 MB per batch.")
-
-
 @dataclass(frozen=True)
 class Options:
     """Settings, frozen into every job when it is staged."""

@@ -151,18 +151,6 @@ def distinct_in_order(items: Column) -> Column:
     return F.array_distinct(items)
 
 
-def retain_greedily(entries: Column, budget: int) -> Column:
-    """Of array<struct<created long, bytes long, id ...>> the entries, newest first, that fit: one that does not is left out and costs nothing."""
-    newest = F.array_sort(entries, lambda a, b: F.when(a["created"] > b["created"], -1).when(a["created"] < b["created"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.slice(newest, 1, 0).alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["bytes"] <= budget
-        return F.struct(F.when(fits, acc["used"] + x["bytes"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
-
-    return F.aggregate(newest, start, step, lambda acc: acc["kept"])
-
-
 def register(spark: SparkSession) -> None:
     """Temporary SQL functions with the names of this module's columns; they are SQL expressions and are put into the plan."""
     cell = "coalesce(x, '')"
@@ -172,7 +160,21 @@ def register(spark: SparkSession) -> None:
     cell = f"regexp_replace({cell}, '\\r\\n|\\r|\\n', '<br>')"
     fence = "repeat('`', aggregate(regexp_extract_all(x, '(`+)', 1), 3, (m, r) -> greatest(m, length(r) + 1)))"
     spaces = SPACE.replace("\\", "\\\\")
+    width = "array_max(transform(x, r -> size(r)))"
+    places = f"if({width} > 0, sequence(0, {width} - 1), cast(array() as array<int>))"
+    line = lambda cells: f"concat('| ', array_join({cells}, ' | '), ' |')"
+    body = f"transform(x, r -> {line(f'transform({places}, i -> {cell.replace("coalesce(x,", "coalesce(get(r, i),")})')})"
+    rule = line(f"transform({places}, i -> '---')")
+    rows = f"concat(slice({body}, 1, 1), array({rule}), slice({body}, 2, greatest(size(x) - 1, 0)))"
+    stem = "regexp_replace(x, '\\\\.[^.]+\\\\z', '')"
+    stem = f"""regexp_replace({stem}, '[<>:"/\\\\\\\\|?*\\\\x00-\\\\x1f]', '_')"""
+    stem = f"left(regexp_replace({stem}, '[ .]+\\\\z', ''), {limits.NAME_CHARS})"
+    stem = f"if({stem} = '', 'document', {stem})"
+    known = lambda table: "map(" + ", ".join(f"'{k}', '{v}'" for k, v in table.items()) + ")"
     for sql in (
+        f"md_table(x ARRAY<ARRAY<STRING>>) RETURNS STRING RETURN if(size(x) = 0, '{EMPTY_TABLE[:-1]}\\n', concat(array_join({rows}, '\\n'), '\\n'))",
+        f"md_output_name(x STRING) RETURNS STRING RETURN concat(if(rlike({stem}, '(?i)\\\\A(con|prn|aux|nul|com[1-9]|lpt[1-9])\\\\z'), '_', ''), {stem}, '.md')",
+        f"md_detect_format(x STRING, mime STRING) RETURNS STRING RETURN coalesce(try_element_at({known(limits.BY_EXTENSION)}, lower(substring_index(x, '.', -1))), if(contains(x, '.'), NULL, try_element_at({known(limits.BY_MIME)}, coalesce(mime, ''))))",
         f"md_cell(x STRING) RETURNS STRING RETURN {cell}",
         f"md_fence(x STRING, lang STRING) RETURNS STRING RETURN concat({fence}, lang, '\\n', x, '\\n', {fence}, '\\n')",
         f"usable_text(x STRING) RETURNS BOOLEAN RETURN regexp_count(x, '[\\\\p{{L}}\\\\p{{N}}]') >= 3 AND regexp_count(x, '[\\\\p{{L}}\\\\p{{N}}]') / greatest(length(regexp_replace(x, '{spaces}', '')) + regexp_count(x, '[\\\\x{{10000}}-\\\\x{{10FFFF}}]'), 1) >= 0.5 AND NOT contains(x, '\ufffd')",

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import limits
 from docloom.functions.limits import ConversionError, Options
-from docloom.functions.markdown import output_name, retain_greedily
+from docloom.functions.markdown import output_name
 from docloom.operators.convert import convert
 
 JOBS = "batch_id string, job_id string, ordinal bigint, name string, mime string, size bigint, options struct<cache_hours: int, model_cache_hours: int, ocr_language: string, ocr_rotation: int, pdf_force_ocr: boolean, download_directory: string>, created_at bigint"
@@ -24,31 +27,58 @@ def now_ms() -> int:
     return int(time.time() * 1000)
 
 
-def check_batch(files: DataFrame, max_files: int | None = limits.MAX_FILES, max_bytes: int | None = limits.MAX_BATCH_BYTES) -> None:
-    """Refuse a batch that breaks the limits; None lifts a limit, for batches of a cluster's size. One aggregation over (name, size)."""
-    bad = F.col("name").isNull() | (F.col("name") == "") | F.col("size").isNull() | (F.col("size") < 0)
-    n, total, invalid, large = files.agg(F.count(F.lit(1)), F.sum("size"), F.count_if(bad), F.min(F.when(F.col("size") > limits.MAX_FILE_BYTES, F.col("name")))).first()
-    if not n:
-        raise ConversionError("EMPTY_BATCH", "Select at least one file.")
-    if max_files is not None and n > max_files:
-        raise ConversionError("TOO_MANY_FILES", f"Select up to {max_files} files per batch.")
-    if invalid:
-        raise ConversionError("INVALID_FILE", "The file selection is invalid.")
-    if large is not None:
-        raise ConversionError("FILE_TOO_LARGE", f"{large} exceeds the 20 MB file limit.")
-    if max_bytes is not None and total > max_bytes:
-        raise ConversionError("BATCH_TOO_LARGE", "Select at most 100 MB per batch.")
+def batch_fault(files: DataFrame, max_files: int | None = limits.MAX_FILES, max_bytes: int | None = limits.MAX_BATCH_BYTES, order: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, files, bytes, code, message) of files (name, size), code and message null where the batch may be staged; keys: a batch each.
+
+    The count comes first, then the first file, by `order` or as the rows stand, that breaks a rule of its own, then the sum. None lifts
+    a limit, for batches of a cluster's size. One aggregation that never reads a content.
+    """
+    invalid = F.col("name").isNull() | (F.col("name") == "") | F.col("size").isNull() | (F.col("size") < 0)
+    large = F.col("size") > limits.MAX_FILE_BYTES
+    place = F.monotonically_increasing_id() if order is None else F.col(order)
+    first = F.min(F.when(invalid | large, F.struct("__place", (~invalid).alias("large"), F.col("name").alias("name"))))
+    judged = files.withColumn("__place", place).groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), first.alias("first"))
+    rules = [
+        (F.col("files") == 0, "EMPTY_BATCH", F.lit("Select at least one file.")),
+        (F.col("files") > (1 << 62 if max_files is None else max_files), "TOO_MANY_FILES", F.lit(f"Select up to {max_files} files per batch.")),
+        (~F.col("first.large"), "INVALID_FILE", F.lit("The file selection is invalid.")),
+        (F.col("first.large"), "FILE_TOO_LARGE", F.concat("first.name", F.lit(" exceeds the 20 MB file limit."))),
+        (F.col("bytes") > (1 << 62 if max_bytes is None else max_bytes), "BATCH_TOO_LARGE", F.lit("Select at most 100 MB per batch.")),
+    ]
+    code, message = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for broken, name, text in rules:
+        code, message = code.when(broken, F.lit(name)), message.when(broken, text)
+    return judged.select(*keys, "files", "bytes", code.alias("code"), message.alias("message"))
+
+
+def check_batch(files: DataFrame, max_files: int | None = limits.MAX_FILES, max_bytes: int | None = limits.MAX_BATCH_BYTES, order: str | None = None) -> None:
+    """Refuse a batch that breaks the limits."""
+    fault = batch_fault(files, max_files, max_bytes, order).first()
+    if fault["code"]:
+        raise ConversionError(fault["code"], fault["message"])
 
 
 class BatchStore:
     """Tables jobs, inputs and results below a path that all executors reach, one partition for each batch.
 
-    A batch's results are written by one atomic append, and inputs are only dropped afterwards: whatever has no result when a run
-    ends early is run again by the next one, and nothing else.
+    A batch's results are written by a few atomic appends, and inputs are only dropped afterwards: whatever has no result when a run
+    ends early is run again by the next one, and nothing else. Opening a store ends what a run that broke off has left half done.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._recover()
+
+    def _recover(self) -> None:
+        """Take up an exchange of results that broke off between its two renamings; drop what was not finished before."""
+        fs, root = self._path("results")
+        for status in fs.globStatus(self._path("results-*")[1]) or []:
+            path = status.getPath()
+            whole = fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
+            if whole and path.getName().startswith("results-new") and not fs.exists(root):
+                fs.rename(path, root)
+            else:
+                fs.delete(path, True)
 
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
@@ -91,16 +121,34 @@ class BatchStore:
         """Jobs without a result."""
         return self.jobs().where(F.col("batch_id") == batch).join(self.results().where(F.col("batch_id") == batch).select("job_id"), "job_id", "left_anti")
 
-    def run(self, batch: str, recognizer: object | None = None, at: int | None = None) -> None:
-        """Convert what is pending; a job whose input is gone ends as INPUT_MISSING. spark.interruptTag(batch) ends a run, which can then be taken up again."""
+    def _touch(self, batch: str, at: int) -> None:
+        self.spark.range(1).select(F.lit(at).cast("long").alias("at")).write.mode("append").parquet(f"{self.root}/touched/batch_id={batch}")
+
+    def touched(self) -> DataFrame:
+        """(batch_id, at): when something last happened to a batch: it was staged, a run began, or a result came."""
+        events = self.jobs().select("batch_id", F.col("created_at").alias("at")).unionByName(self.results().select("batch_id", F.col("created_at").alias("at")))
+        return events.unionByName(self._read("touched", "batch_id string, at bigint")).groupBy("batch_id").agg(F.max("at").alias("at"))
+
+    def run(self, batch: str, recognizer: object | None = None, at: int | None = None, commits: int = 4) -> None:
+        """Convert what is pending; a job whose input is gone ends as INPUT_MISSING. spark.interruptTag(batch) ends a run, which can then be taken up again.
+
+        commits: parts of the jobs, by a hash of their ids, whose results are committed one after the other; a run that fails loses one part's work.
+        """
         self.spark.addTag(batch)
         try:
-            self._run(batch, recognizer, at)
+            pending = self.pending(batch).select("job_id").count()
+            if pending:
+                self._touch(batch, now_ms() if at is None else at)
+            parts = min(commits, pending)
+            for part in range(parts):
+                self._run(batch, recognizer, at, F.pmod(F.xxhash64("job_id"), F.lit(parts)) == part)
+            if pending:
+                self._drop(f"inputs/batch_id={batch}")
         finally:
             self.spark.removeTag(batch)
 
-    def _run(self, batch: str, recognizer: object | None, at: int | None) -> None:
-        jobs = self.pending(batch)
+    def _run(self, batch: str, recognizer: object | None, at: int | None, part: Column) -> None:
+        jobs = self.pending(batch).where(part)
         first = jobs.select("options").first()
         if first is None:
             return
@@ -109,7 +157,6 @@ class BatchStore:
         done = convert(files, mime="mime", options=options, recognizer=recognizer)
         done = done.select("job_id", "ordinal", "name", "state", "markdown", "warnings", "error", "bytes", F.lit(now_ms() if at is None else at).alias("created_at"))
         done.write.mode("append").parquet(f"{self.root}/results/batch_id={batch}")
-        self._drop(f"inputs/batch_id={batch}")
 
     def cancel(self, batch: str, at: int | None = None) -> None:
         """End what is pending as cancelled."""
@@ -143,19 +190,24 @@ class BatchStore:
         return rows.select("job_id", "name", F.coalesce("state", F.lit("pending")).alias("state"), shown.alias("shown"), F.array_join("warnings", " ").alias("notes"))
 
     def prune(self, at: int | None = None, hours: int = 24, budget: int = limits.CACHE_BYTES) -> None:
-        """Drop expired outputs and those beyond the budget, newest kept first, and batches untouched for a day."""
+        """Drop expired outputs and those beyond the budget, newest kept first, and batches to which nothing happened for a day.
+
+        The results that stay are written whole, then take the old ones' place; a crash in between is mended when the store is next opened.
+        """
         at = now_ms() if at is None else at
+        abandoned = [row["batch_id"] for row in self.touched().where(F.col("at") < at - limits.ABANDONED_MS).toLocalIterator()]
         kept = retained(self.outputs(at, hours), budget).select("job_id")
         rest = self.results().where("state <> 'done'").unionByName(self.results().join(kept, "job_id", "left_semi"))
-        fresh = f"results-{uuid.uuid4().hex}"
-        rest.write.partitionBy("batch_id").parquet(f"{self.root}/{fresh}")
-        self._drop("results")
-        fs, source = self._path(fresh)
-        fs.rename(source, self._path("results")[1])
-        touched = self.jobs().groupBy("batch_id").agg(F.max("created_at").alias("at")).where(F.col("at") < at - limits.ABANDONED_MS)
-        for row in touched.toLocalIterator():
-            for name in ("jobs", "inputs"):
-                self._drop(f"{name}/batch_id={row['batch_id']}")
+        mark = uuid.uuid4().hex
+        rest.write.partitionBy("batch_id").parquet(f"{self.root}/results-new-{mark}")
+        fs, results = self._path("results")
+        if fs.exists(results):
+            fs.rename(results, self._path(f"results-old-{mark}")[1])
+        fs.rename(self._path(f"results-new-{mark}")[1], results)
+        self._drop(f"results-old-{mark}")
+        for batch in abandoned:
+            for name in ("jobs", "inputs", "touched"):
+                self._drop(f"{name}/batch_id={batch}")
 
     def stats(self) -> DataFrame:
         """(count, bytes) of the outputs; their text is not read."""
@@ -172,11 +224,35 @@ def live(rows: DataFrame, at: int, hours: int) -> DataFrame:
 def retained(outputs: DataFrame, budget: int, keys: tuple[str, ...] = (), id_col: str = "job_id") -> DataFrame:
     """outputs that a greedy scan keeps, newest first: one that does not fit is skipped and uses nothing up. keys: a budget for each.
 
-    Only (created_at, bytes, id) are gathered, within a cache whose size the budget bounds; the rows themselves are then selected by id.
+    The scan depends on order, so a key's rows pass one task, but as a stream of (key, created_at, bytes, id) sorted beforehand, of which
+    nothing but the sum so far is kept; the rows themselves are then selected by id. A key or bytes that are null take no part.
     """
-    entry = F.struct(F.col("created_at").alias("created"), F.col("bytes").cast("long").alias("bytes"), F.col(id_col).alias("id"))
-    kept = outputs.groupBy(*keys).agg(F.collect_list(entry).alias("e")).select(F.explode(retain_greedily(F.col("e"), budget)).alias("x"))
-    return outputs.join(kept.select(F.col("x.id").alias(id_col)), id_col, "left_semi")
+    narrow = outputs.select(*keys, F.col("created_at").alias("__at"), F.col("bytes").cast("long").alias("__bytes"), F.col(id_col).alias("__id")).where(F.col("__bytes") <= budget)
+    order = [*keys, F.desc("__at"), "__id"]
+    dealt = narrow.repartition(*keys).sortWithinPartitions(*order) if keys else narrow.orderBy(*order).coalesce(1)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used = None, 0
+        for batch in batches:
+            sizes = batch.column("__bytes").to_numpy(zero_copy_only=False)
+            owners = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * len(sizes)
+            keep = np.zeros(len(sizes), bool)
+            start = 0
+            while start < len(sizes):
+                if owners[start] != key:
+                    key, used = owners[start], 0
+                end = next((k for k in range(start, len(sizes)) if owners[k] != key), len(sizes)) if keys else len(sizes)
+                while start < end:
+                    upto = used + np.cumsum(sizes[start:end])
+                    fits = int(np.searchsorted(upto, budget, "right"))  # sizes are not negative, so the sum only grows
+                    keep[start : start + fits] = True
+                    used = int(upto[fits - 1]) if fits else used
+                    small = np.flatnonzero(sizes[start + fits : end] <= budget - used)  # what cannot fit any more is passed over at once
+                    start = start + fits + (int(small[0]) if len(small) else end - start - fits)
+            yield pa.RecordBatch.from_arrays([batch.column("__id").filter(pa.array(keep))], names=[id_col])
+
+    kept = dealt.mapInArrow(scan, f"`{id_col}` {dict(outputs.dtypes)[id_col]}")
+    return outputs.join(kept, id_col, "left_semi")
 
 
 def evicted_oldest_first(items: DataFrame, budget: int, incoming: int, order: str = "created_at", size: str = "bytes", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -185,19 +261,38 @@ def evicted_oldest_first(items: DataFrame, budget: int, incoming: int, order: st
     return items.withColumn("__upto", F.sum(size).over(newest)).where(F.col("__upto") + incoming <= budget).drop("__upto")
 
 
+#: Parts in which the rows of one name are ranked before those that can still get a name meet.
+NAME_PARTS = 64
+
+
 def numbered_names(outputs: DataFrame, name: str = "name", order: str = "ordinal", taken: DataFrame | None = None) -> DataFrame:
-    """outputs with `file`: the Markdown file's name, with (2), (3) ... for repeated ones; names in taken (file) count as used."""
+    """outputs with `file`: the Markdown file's name, or that with (2), (3) ... for repeated ones, each the first that is free.
+
+    Names in taken (file) are not free, nor are the plain names of other rows. Beyond SAVE_ATTEMPTS numbers there is none, and file is null.
+    """
     base = outputs.withColumn("file", output_name(F.col(name)))
+    numbered = r"(?s)\A(.*) \((\d{1,6})\)\.md\z"
+    plain = base.select("file").distinct()
+    held = plain if taken is None else plain.unionByName(taken.select("file")).distinct()
+    numbers = held.select(F.concat(F.regexp_extract("file", numbered, 1), F.lit(".md")).alias("file"), F.regexp_extract("file", numbered, 2).alias("digits"))
+    numbers = numbers.where("digits <> '' AND digits NOT LIKE '0%'").select("file", F.col("digits").try_cast("int").alias("n")).where(F.col("n").between(2, limits.SAVE_ATTEMPTS))
+    used = numbers.groupBy("file").agg(F.collect_set("n").alias("used"))  # of at most SAVE_ATTEMPTS numbers
     if taken is not None:
-        stem = F.regexp_replace("file", r"( \((\d+)\))?\.md\z", ".md")
-        number = F.when(F.rlike("file", F.lit(r" \(\d+\)\.md\z")), F.try_to_number(F.regexp_extract("file", r" \((\d{1,4})\)\.md\z", 1), F.lit("9999")).cast("int")).otherwise(1)
-        used = taken.select(stem.alias("file"), number.alias("n")).groupBy("file").agg(F.max("n").alias("used"))
-        base = base.join(used, "file", "left")
+        used = used.join(taken.select("file", F.lit(True).alias("gone")).distinct(), "file", "full")
     else:
-        base = base.withColumn("used", F.lit(0))
-    place = F.row_number().over(Window.partitionBy("file").orderBy(order)) + F.coalesce("used", F.lit(0))
-    numbered = F.when(place == 1, F.col("file")).otherwise(F.concat(F.regexp_replace("file", r"\.md\z", ""), F.lit(" ("), place.cast("string"), F.lit(").md")))
-    return base.withColumn("__place", place).withColumn("file", F.when(F.col("__place") <= limits.SAVE_ATTEMPTS, numbered)).drop("used", "__place")
+        used = used.withColumn("gone", F.lit(False))
+    # A name may have very many rows: their first SAVE_ATTEMPTS are found in parts, and only these are ranked together.
+    part = F.pmod(F.xxhash64(order), F.lit(NAME_PARTS))
+    ranked = base.withColumn("__part", F.row_number().over(Window.partitionBy("file", part).orderBy(order)))
+    may = F.col("__part") <= limits.SAVE_ATTEMPTS
+    ranked = ranked.withColumn("__group", F.when(may, 0).otherwise(part + 1)).withColumn("__place", F.row_number().over(Window.partitionBy("file", "__group").orderBy(order)))
+    ranked = ranked.join(used, "file", "left")
+    gone = F.coalesce("gone", F.lit(False))
+    extra = F.col("__place") - F.when(gone, 0).otherwise(1)  # how many numbers the rows up to this one need
+    free = F.array_except(F.sequence(F.lit(2), F.lit(limits.SAVE_ATTEMPTS)), F.coalesce("used", F.array().cast("array<int>")))
+    number = F.when(F.col("used").isNull(), extra + 1).otherwise(F.get(free, extra - 1))
+    file = F.when(extra == 0, F.col("file")).when(number <= limits.SAVE_ATTEMPTS, F.concat(F.regexp_replace("file", r"\.md\z", ""), F.lit(" ("), number.cast("string"), F.lit(").md")))
+    return ranked.withColumn("file", F.when(F.col("__group") == 0, file)).select(*[f"`{c}`" for c in base.columns])
 
 
 def save_markdown(outputs: DataFrame, directory: str) -> None:

@@ -18,8 +18,14 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(32 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
+#: Rows travel to Python and back in batches of at most so many bytes: by number alone, long texts would make batches of any size.
+BATCH_BYTES_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def ensure_importable(spark: SparkSession) -> None:
-    """Put this checkout on the Python path of the workers started from now on, and have them give memory back."""
+    """Put this checkout on the Python path of the workers started from now on, have them give memory back, and bound their batches."""
+    if spark.conf.get(BATCH_BYTES_SETTING) == "67108864b":  # the default; a session's own choice stays
+        spark.conf.set(BATCH_BYTES_SETTING, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     for name, value in WORKER_ENV.items():
         env.setdefault(name, value)

@@ -109,12 +109,14 @@ def test_batch_life(spark, tmp_path):
     shown = {r["name"]: (r.state, r.shown) for r in store.messages(at=2500 + hour, hours=1).collect()}
     assert shown["b.csv"][1] == "This result has expired." and shown["o.mp3"][0] == "error" and shown["a.html"][1] == "# Hi\n"
     second = store.stage(table(spark, {"z.csv": b"1"}), at=10)
-    store.cancel(second)
+    store.cancel(second, at=20)
     assert {r.batch_id: r.state for r in store.status().collect()} == {first: "done", second: "cancelled"}
     store.prune(at=2000 + hour, hours=1, budget=10_000_000)
     assert store.outputs(at=2000 + hour, hours=1).count() == 10 and store.results().count() == 15
     store.prune(at=10 + limits.ABANDONED_MS + 500, hours=720)
     assert [r.batch_id for r in store.jobs().select("batch_id").distinct().collect()] == [first]
+    os.rename(f"{store.root}/results", f"{store.root}/results-new-x")  # a crash between the two renamings of prune
+    assert batch.BatchStore(spark, store.root).results().count() == store.results().count() > 0
     store.clear()
     assert store.results().count() == 0
 
@@ -126,6 +128,12 @@ def test_batch_limits(spark):
             check(rows)
         assert e.value.code == want
     check([("x", 1)] * 1000, max_files=None, max_bytes=None)
+    large, bad, fine = ("z", 30 << 20), ("", 1), ("m", 1)
+    for rows, want in (([large, bad], "FILE_TOO_LARGE"), ([fine, bad, large], "INVALID_FILE"), ([bad, large] * 13, "TOO_MANY_FILES"), ([("y", 25 << 20), ("a", 25 << 20)], "FILE_TOO_LARGE")):
+        numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "place int, name string, size long").repartition(4)
+        with pytest.raises(ConversionError) as e:
+            batch.check_batch(numbered, order="place")
+        assert e.value.code == want and (rows[0][0] != "y" or str(e.value).startswith("y "))
 
 
 def test_retention_is_greedy(spark):
@@ -135,10 +143,40 @@ def test_retention_is_greedy(spark):
     assert batch.retained(items, 0).count() == 0
 
 
+def test_retention_by_key_against_a_loop(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, r.randrange(5), r.randrange(40), r.choice([0, 1, 5, 30, 70, 200])) for i in range(400)]
+    items = spark.createDataFrame(rows, "job_id long, owner int, created_at long, bytes long").repartition(7)
+    want = set()
+    for owner in range(5):
+        used = 0
+        for i, _, _, size in sorted((x for x in rows if x[1] == owner), key=lambda x: (-x[2], x[0])):
+            if used + size <= 500:
+                used += size
+                want.add(i)
+    assert {x.job_id for x in batch.retained(items, 500, ("owner",)).collect()} == want
+
+
+def test_sql_functions_agree_with_columns(spark):
+    md.register(spark)
+    rows = spark.createDataFrame([("a|b.CSV", [["x", "y|_"], ["1"], []]), ("con.txt", [["*"]]), ("...", []), ("q:w?.pdf ", [["a", None]]), ("plain", [["r\ns"]])], "n string, t array<array<string>>")
+    rows.createOrReplaceTempView("sql_functions_rows")
+    got = spark.sql("SELECT md_table(t) AS t, md_output_name(n) AS o, md_detect_format(n, 'text/csv') AS f FROM sql_functions_rows").collect()
+    want = rows.select(md.md_table(F.col("t")).alias("t"), md.output_name(F.col("n")).alias("o"), md.detect_format(F.col("n"), F.lit("text/csv")).alias("f")).collect()
+    assert got == want
+
+
 def test_save_never_overwrites(spark, tmp_path):
     out = spark.createDataFrame([(i, n, f"text {i}") for i, n in enumerate(["a.csv", "a.json", "b.csv", "a.xml"])], "ordinal long, name string, markdown string")
     taken = spark.createDataFrame([("b.md",), ("a (3).md",)], "file string")
-    assert {r.ordinal: r.file for r in batch.numbered_names(out, taken=taken).collect()} == {0: "a (4).md", 1: "a (5).md", 2: "b (2).md", 3: "a (6).md"}
+    assert {r.ordinal: r.file for r in batch.numbered_names(out, taken=taken).collect()} == {0: "a.md", 1: "a (2).md", 2: "b (2).md", 3: "a (4).md"}
+    clash = spark.createDataFrame([(0, "a.html"), (1, "a.html"), (2, "a (2).html"), (3, "b.x"), (4, "c (07).y"), (5, "c.y")], "ordinal long, name string")
+    assert {r.ordinal: r.file for r in batch.numbered_names(clash, taken=spark.createDataFrame([("b.md",), ("b (3).md",), ("b (2).md",)], "file string")).collect()} == {0: "a.md", 1: "a (3).md", 2: "a (2).md", 3: "b (4).md", 4: "c (07).md", 5: "c.md"}
+    many = spark.range(limits.SAVE_ATTEMPTS + 500).select(F.col("id").alias("ordinal"), F.lit("n.csv").alias("name"))
+    got = [r.file for r in batch.numbered_names(many).orderBy("ordinal").collect()]
+    assert got[:2] == ["n.md", "n (2).md"] and got[limits.SAVE_ATTEMPTS - 1] == f"n ({limits.SAVE_ATTEMPTS}).md" and set(got[limits.SAVE_ATTEMPTS :]) == {None}
     named = batch.numbered_names(out)
     batch.save_markdown(named, str(tmp_path))
     assert {n: (tmp_path / n).read_text() for n in sorted(os.listdir(tmp_path))} == {"a.md": "text 0", "a (2).md": "text 1", "b.md": "text 2", "a (3).md": "text 3"}

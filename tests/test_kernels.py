@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docloom.functions import limits
-from docloom.functions.limits import ConversionError, Options, detect_format, error_info, validate_files
+from docloom.functions.limits import ConversionError, Options, detect_format, error_info
 from docloom.kernels import archive, base, html, image, layout, numfmt, pdf, presentation, router, text, workbook, xmltree
 from docloom.kernels.base import Context, decode_text, fenced
 from docloom.kernels.layout import Token, layout_text, usable_text
@@ -101,15 +101,7 @@ def test_xml_source_and_text():
     assert code(convert, "large.xml", "x" * limits.MAX_OUTPUT_BYTES) == "OUTPUT_TOO_LARGE"
 
 
-def test_limits_and_settings():
-    size = limits.MAX_FILE_BYTES
-    assert code(validate_files, []) == "EMPTY_BATCH"
-    assert code(validate_files, [("x", size + 1)]) == "FILE_TOO_LARGE"
-    assert code(validate_files, [("x", 1)] * 26) == "TOO_MANY_FILES"
-    assert code(validate_files, [("x", size)] * 6) == "BATCH_TOO_LARGE"
-    for bad in (("x", -1), ("", 1), (None, 1), ("x", 1.5), ("x", 2**53)):
-        assert code(validate_files, [bad]) == "INVALID_FILE"
-    validate_files([("x", size)] * 5)
+def test_settings():
     assert Options(cache_hours="24").cache_hours == 24 and Options(pdf_force_ocr=1).pdf_force_ocr is False
     for bad in ({"cache_hours": 0}, {"cache_hours": 721}, {"cache_hours": 1.5}, {"model_cache_hours": "abc"}, {"ocr_language": "fr"}, {"ocr_rotation": 45}):
         with pytest.raises(ValueError):
@@ -118,10 +110,10 @@ def test_limits_and_settings():
 
 
 def test_html():
-    out = html.html_to_markdown('<h1>Title</h1><p><strong>bold</strong> <em>italic</em> <a href="https://example.org">Link</a></p><ul><li>One</li><li>Two</li></ul><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table>').markdown
-    assert out == "# Title\n\n**bold** *italic* [Link](https://example.org)\n\n-   One\n-   Two\n\n| A | B |\n| --- | --- |\n| 1 | 2 |\n"
-    bad = html.html_to_markdown('<script>globalThis.EXECUTED=1</script><a href="jav&#x61;script:alert(1)" onclick="alert(1)">Click</a><img src="https://example.org/tracker" onerror="alert(1)" alt="Diagram"><iframe src="https://example.org">Hidden</iframe>')
-    assert bad.markdown == "Click[Image: Diagram]\n" and "alt text" in bad.warnings[0]
+    out = html.html_to_markdown('<h1>Fauna</h1><p><b>wolf</b> and <i>lynx</i>, <a href="http://zoo.test/map">a map</a></p><ul><li>fur</li><li>paw</li></ul><table><tr><th>kind</th><th>legs</th></tr><tr><td>newt</td><td>4</td></tr></table>').markdown
+    assert out == "# Fauna\n\n**wolf** and *lynx*, [a map](http://zoo.test/map)\n\n-   fur\n-   paw\n\n| kind | legs |\n| --- | --- |\n| newt | 4 |\n"
+    bad = html.html_to_markdown('<script>steal()</script><a href="java&#115;cript:steal()" onfocus="steal()">Press</a><img src="http://spy.test/dot.gif" onload="steal()" alt="Chart"><iframe src="http://spy.test">inside</iframe>')
+    assert bad.markdown == "Press[Image: Chart]\n" and "alt text" in bad.warnings[0]
     head = html.html_to_markdown("<html><head><title>Hidden title</title></head><body><pre>```\nhello</pre></body></html>").markdown
     assert "Hidden title" not in head and head.startswith("````")
     assert code(html.html_to_markdown, "<div>" * 130 + "x" + "</div>" * 130) == "HTML_LIMIT"
