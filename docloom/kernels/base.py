@@ -44,6 +44,13 @@ class Context:
             raise ConversionError("TIMEOUT", "Conversion exceeded the time limit.")
 
 
+Check = Callable[[], None]
+
+
+def unchecked() -> None:
+    """In place of Context.check where nothing limits the time."""
+
+
 def decode_text(data: bytes) -> str:
     kind = {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}.get(data[:2], "utf-8")
     try:

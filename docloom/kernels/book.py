@@ -43,7 +43,7 @@ class Book:
     """The package of an EPUB: its title, and what its spine lists."""
 
     def __init__(self, archive: Archive):
-        self.archive = archive
+        self.archive, self.check = archive, archive.context.check
         root_file = self._xml(CONTAINER).first("rootfile")
         self.name = safe_path(None if root_file is None else root_file.get("full-path"))
         self.root = self._xml(self.name)
@@ -83,7 +83,7 @@ class Book:
         """An item's Markdown; None for one that is no page."""
         if item.get("media-type") not in CHAPTER_TYPES:
             return None
-        return html_to_markdown(decode_text(self.archive.read(resolve_chapter(self.name, item.get("href") or ""))))
+        return html_to_markdown(decode_text(self.archive.read(resolve_chapter(self.name, item.get("href") or ""))), self.check)
 
 
 def convert_epub(data: bytes, context: Context) -> Result:

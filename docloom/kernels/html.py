@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
 from docloom.functions.limits import TREE_DEPTH, TREE_NODES, ConversionError
-from docloom.kernels.base import JS_SPACE, Context, Result, cell, decode_text, fenced, table, unique
+from docloom.kernels.base import JS_SPACE, Check, Context, Result, cell, decode_text, fenced, table, unchecked, unique
 
 # --- fixed values: elements and attributes that are dropped ---------------------------------------------------------------
 DROPPED = set("head script style iframe object embed template noscript meta link svg canvas input button select textarea".split())
@@ -47,14 +47,21 @@ class Node:
             stack.extend(c for c in reversed(x.children) if isinstance(c, Node))
 
 
+#: Nodes after which the time is looked at.
+CHECK_EVERY = 256
+
+
 class _Builder(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, check: Check = unchecked) -> None:
         super().__init__(convert_charrefs=True)
+        self.check = check
         self.root = self.at = Node("body")
         self.depth, self.nodes = 0, 1
 
     def _count(self, depth: int) -> None:
         self.nodes += 1
+        if self.nodes % CHECK_EVERY == 0:
+            self.check()
         if self.nodes > TREE_NODES or depth > TREE_DEPTH:
             raise ConversionError("HTML_LIMIT", "HTML exceeds the 100,000-node or 128-level nesting limit.")
 
@@ -197,8 +204,9 @@ _EDGE = re.compile(rf"^([{JS_SPACE}]*)(.*?)([{JS_SPACE}]*)$", re.S)
 
 
 class _Renderer:
-    def __init__(self) -> None:
+    def __init__(self, check: Check = unchecked) -> None:
         self.warnings: list[str] = []
+        self.check = check
 
     def blank(self, node: Node) -> bool:
         if node.name in VOID or node.name in KEPT_BLANK or node.text().strip(JS_SPACE):
@@ -221,6 +229,7 @@ class _Renderer:
         return out
 
     def element(self, node: Node, code: bool) -> str:
+        self.check()
         block = node.name in BLOCK
         if self.blank(node):
             return "\n\n" if block else self.flank(node, "")
@@ -341,15 +350,15 @@ class _Renderer:
         return f"[{content}]({href}" + (f' "{title}"' if title else "") + ")"
 
 
-def html_to_markdown(html: str) -> Result:
-    builder = _Builder()
+def html_to_markdown(html: str, check: Check = unchecked) -> Result:
+    builder = _Builder(check)
     builder.feed(html)
     builder.close()
     _clean(builder.root)
     _collapse(builder.root)
-    renderer = _Renderer()
+    renderer = _Renderer(check)
     return Result(renderer.children(builder.root).strip(JS_SPACE) + "\n", unique(renderer.warnings))
 
 
 def convert_html(data: bytes, context: Context) -> Result:
-    return html_to_markdown(decode_text(data))
+    return html_to_markdown(decode_text(data), context.check)

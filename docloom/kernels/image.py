@@ -162,6 +162,15 @@ def normalized(pixels: np.ndarray, rotation: int = 0) -> np.ndarray:
     return np.rot90(pixels, -(rotation // 90) % 4)
 
 
+def encode_png(pixels: np.ndarray) -> bytes:
+    """Pixels (height, width, 3) as a PNG without filters."""
+    body = np.clip(np.rint(pixels), 0, 255).astype(np.uint8)
+    height, width = body.shape[:2]
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), body.reshape(height, -1)], axis=1)
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)), (b"IDAT", zlib.compress(rows.tobytes(), 1)), (b"IEND", b"")]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data)) for name, data in parts)
+
+
 def is_blank(pixels: np.ndarray) -> bool:
     """Whether an image (height, width, channels) is of one brightness, looked at through 128 by 128 mean tiles."""
     grey = pixels[..., :3].astype(float).mean(-1)
@@ -191,7 +200,11 @@ class Recognized:
 
 
 class Recognizer(Protocol):
-    """An engine for recognition: pixels or encoded bytes in, text and confidence out. None is part of this package."""
+    """An engine for recognition: an encoded image in, text and confidence out. None is part of this package.
+
+    A PNG comes with alpha on white, within the pixel limits and turned as options.ocr_rotation says; a JPEG, and a PNG of a kind that is
+    not decoded here, comes as it is stored, and the engine turns and bounds it. There is one engine in a process for all images.
+    """
 
     def recognize(self, image: bytes, options: Options) -> Recognized: ...
 
@@ -213,14 +226,16 @@ def recognize(image: bytes, context: Context) -> Recognized:
 
 def convert_image(data: bytes, context: Context) -> Result:
     width, height = image_dimensions(data)
-    warnings = []
-    if bounded_size(width, height)[2] < 1:
-        warnings.append("Image was downscaled to the OCR pixel limit; small text may be missed.")
-    pixels = decode_png(data) if data[:4] == b"\x89PNG" else None  # JPEGs are for the engine to decode
-    if pixels is not None and is_blank(normalized(pixels, context.options.ocr_rotation)):
-        found = Recognized("", None, ["Blank image/page: no visible text to recognize."])  # without an engine
-    else:
+    warnings = ["Image was downscaled to the OCR pixel limit; small text may be missed."] if bounded_size(width, height)[2] < 1 else []
+    pixels = decode_png(data) if data[:4] == b"\x89PNG" else None
+    if pixels is None:
         found = recognize(data, context)
+    else:
+        shown = normalized(pixels, context.options.ocr_rotation)
+        if is_blank(shown):
+            found = Recognized("", None, ["Blank image/page: no visible text to recognize."])  # without an engine
+        else:
+            found = recognize(encode_png(shown), context)
     return Result(f"{body_text(found.text)}\n" if found.text else "_No text recognized._\n", warnings + found.warnings)
 
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from docloom.functions import limits
 from docloom.functions.limits import ConversionError
-from docloom.kernels.base import JS_SPACE, Context, Result, Sections, body_text
+from docloom.kernels.base import JS_SPACE, Context, Result, Sections, body_text, unique
 from docloom.kernels.image import recognize
 from docloom.kernels.layout import Token, layout_text, usable_text
 
@@ -690,15 +690,19 @@ def render_scale(width: float, height: float) -> float:
 
 
 def _recognized(page: Page, number: int, context: Context) -> tuple[str, list[str]]:
-    """Text of a page without usable text of its own. Pages are not drawn here: the recognizer gets the page's largest JPEG."""
+    """Text of a page without usable text of its own. Pages are not drawn here: the recognizer gets the page's JPEGs, in the order in which they are shown."""
     if not page.painted and not page.tokens:
         return "", ["Blank image/page: no visible text to recognize."]
-    pixels = [(page.file.get(i.about.get("Width")) or 0) * (page.file.get(i.about.get("Height")) or 0) for i in page.images]
-    if any(n > limits.IMAGE_PIXELS for n in pixels):
+    size = lambda i: (page.file.get(i.about.get("Width")) or 0) * (page.file.get(i.about.get("Height")) or 0)
+    if any(size(i) > limits.IMAGE_PIXELS for i in page.images):
         raise ConversionError("PDF_LIMIT", f"Page {number}: an embedded image exceeds 16 million pixels. Split or resize the PDF and retry.")
-    jpegs = [(n, i) for n, i in zip(pixels, page.images, strict=True) if page.file.get(i.about.get("Filter")) in ("DCTDecode", ["DCTDecode"])]
-    found = recognize(max(jpegs, key=lambda x: x[0])[1].raw if jpegs else b"", context)
-    return found.text, found.warnings
+    jpegs = [i for i in page.images if page.file.get(i.about.get("Filter")) in ("DCTDecode", ["DCTDecode"])]
+    if not jpegs:
+        raise ConversionError("PAGE_NOT_DRAWN", "The page has no usable text and no JPEG image, and pages are not drawn here.")
+    found = [recognize(i.raw, context) for i in jpegs]
+    unread = len(page.images) - len(jpegs)
+    notes = [f"{unread} image(s) that are no JPEG were not read."] if unread else []
+    return "\n".join(f.text for f in found if f.text), unique([w for f in found for w in f.warnings]) + notes
 
 
 def convert_pdf(data: bytes, context: Context) -> Result:

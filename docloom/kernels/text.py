@@ -6,12 +6,12 @@ import json
 import re
 
 from docloom.functions.limits import CSV_COLUMNS, CSV_ROWS, ConversionError
-from docloom.kernels.base import Context, Result, decode_text, fenced, table
+from docloom.kernels.base import Check, Context, Result, decode_text, fenced, table, unchecked
 
 _FIELD = re.compile(r'(?:"([^"]*(?:""[^"]*)*)"|([^",\r\n]*))(,|\r\n|\r|\n|\Z)')
 
 
-def parse_csv(source: str) -> list[list[str]]:
+def parse_csv(source: str, check: Check = unchecked) -> list[list[str]]:
     """Rows of comma-separated fields; a quote may only open a whole field, and only a comma or line end may follow its end."""
     rows: list[list[str]] = []
     row: list[str] = []
@@ -29,13 +29,14 @@ def parse_csv(source: str) -> list[list[str]]:
         if end != ",":
             rows.append(row)
             row = []
+            check()
             if len(rows) > CSV_ROWS:
                 raise ConversionError("CSV_LIMIT", "CSV exceeds the 50,000-row limit.")
     return rows
 
 
 def convert_csv(data: bytes, context: Context) -> Result:
-    rows = parse_csv(decode_text(data))
+    rows = parse_csv(decode_text(data), context.check)
     ragged = len({len(r) for r in rows}) > 1
     return Result(table(rows), ["Rows have different widths; missing cells are left blank."] if ragged else [])
 
@@ -77,13 +78,14 @@ def _keys(value: dict) -> list[str]:
     return index + [k for k in value if k not in first]
 
 
-def pretty(value: object, indent: str = "") -> str:
+def pretty(value: object, indent: str = "", check: Check = unchecked) -> str:
+    check()
     inner = indent + "  "
     if isinstance(value, dict):
-        items = [f"{inner}{_string(k)}: {pretty(value[k], inner)}" for k in _keys(value)]
+        items = [f"{inner}{_string(k)}: {pretty(value[k], inner, check)}" for k in _keys(value)]
         return "{\n" + ",\n".join(items) + f"\n{indent}}}" if items else "{}"
     if isinstance(value, list):
-        return "[\n" + ",\n".join(inner + pretty(x, inner) for x in value) + f"\n{indent}]" if value else "[]"
+        return "[\n" + ",\n".join(inner + pretty(x, inner, check) for x in value) + f"\n{indent}]" if value else "[]"
     if isinstance(value, str):
         return _string(value)
     if isinstance(value, float):
@@ -99,7 +101,7 @@ def convert_json(data: bytes, context: Context) -> Result:
     text = decode_text(data)
     try:
         value = json.loads(text, parse_int=float, parse_float=float, parse_constant=_no_constant)
-        return Result(fenced(pretty(value), "json"))
+        return Result(fenced(pretty(value, check=context.check), "json"))
     except (ValueError, RecursionError) as error:
         raise ConversionError("INVALID_JSON", f"Invalid JSON: {error}") from None
 

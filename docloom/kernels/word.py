@@ -22,7 +22,7 @@ def _on(properties: Element | None, name: str) -> bool:
 
 class _Writer:
     def __init__(self, archive: Archive):
-        self.archive = archive
+        self.archive, self.check = archive, archive.context.check
         self.warnings: list[str] = []
         self.styles = {s.any_get("styleId"): ((s.child("name").any_get("val") if s.child("name") is not None else "") or "") for s in self._part("word/styles.xml", "style")}
         self.links = {r.get("Id"): r for r in self._part("word/_rels/document.xml.rels", "Relationship")}
@@ -112,6 +112,7 @@ class _Writer:
                 out.append(f"</li></{lists.pop()}>")
 
         for e in parent.elements():
+            self.check()
             if e.name == "p":
                 properties = e.child("pPr")
                 text = self.inline(e)
@@ -190,7 +191,7 @@ def convert_docx(data: bytes, context: Context) -> Result:
         if body is None:
             raise ConversionError("INVALID_DOCX", "Cannot read Word document: the document has no body.")
         writer = _Writer(archive)
-        result = html_to_markdown(writer.blocks(body) + writer.note_list())
+        result = html_to_markdown(writer.blocks(body) + writer.note_list(), context.check)
         return Result(result.markdown, unique(result.warnings + writer.warnings))
     finally:
         archive.budget.bytes = used

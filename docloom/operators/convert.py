@@ -17,8 +17,10 @@ from docloom.kernels.router import Kernel, convert as convert_file
 from docloom.session import ensure_importable
 
 RESULT = "state string, markdown string, warnings array<string>, error struct<code: string, message: string>, bytes bigint"
-#: Files of a kernel call's batch and their bytes; contents beyond that go in several batches.
-BATCH_BYTES = 64 * limits.MIB
+#: Markdown that is held before it goes out as a batch.
+BATCH_BYTES = 8 * limits.MIB
+#: Input of a core up to which files are dealt out anew where nothing is said: a scan of a few small files has fewer splits than cores.
+SPREAD_BYTES = 64 * limits.MIB
 _ERROR = pa.struct([("code", pa.string()), ("message", pa.string())])
 
 
@@ -26,8 +28,9 @@ def convert(files: DataFrame, *, name: str = "name", content: str = "content", m
     """files with format, state (done or error), markdown, warnings, error and bytes in place of the content.
 
     Routing and size checks are columns; all else happens in one Python stage, which is opaque to the optimizer and so runs
-    once for a row. A file over the limit is not sent there. spread: deal the files to so many tasks first, by a hash of the name, where
-    the scan's own splits are too coarse for heavy formats. A missing content is INPUT_MISSING; a null name is no format's.
+    once for a row. A file over the limit is not sent there. spread: deal the files to so many tasks first; left out, an input that
+    the optimizer takes for small (SPREAD_BYTES a core) is dealt out, and a larger one keeps the scan's own splits; 0 never deals.
+    A missing content is INPUT_MISSING; a null name is no format's.
     """
     ensure_importable(files.sparkSession)
     options = options or Options()
@@ -36,8 +39,11 @@ def convert(files: DataFrame, *, name: str = "name", content: str = "content", m
     large = size > limits.MAX_FILE_BYTES
     keep = [c for c in files.columns if c != content]
     routed = files.select(*keep, fmt.alias("format"), F.coalesce(large, F.lit(False)).alias("__large"), F.when(~large, F.col(content)).alias("__content"))
+    if spread is None:
+        cores = files.sparkSession.sparkContext.defaultParallelism
+        spread = 4 * cores if _estimated_bytes(files) <= SPREAD_BYTES * cores else 0
     if spread:
-        routed = routed.repartition(spread, F.xxhash64(name))
+        routed = routed.repartition(spread, F.xxhash64(*[f"`{c}`" for c in routed.columns if not dict(routed.dtypes)[c].startswith("map")]))
     at_name, kinds = keep.index(name), dict(files.dtypes)
     mime_at = keep.index(mime) if mime else None
 
@@ -55,19 +61,29 @@ def convert(files: DataFrame, *, name: str = "name", content: str = "content", m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = batch.columns
+            columns, start, held, size = batch.columns, 0, [], 0
             for k in range(batch.num_rows):
-                out = one(columns[at_name][k].as_py(), columns[mime_at][k].as_py() if mime_at is not None else None, columns[-3][k].as_py(), columns[-2][k].as_py(), columns[-1][k].as_py())
-                text = pa.array([_clean(out["markdown"])], pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(k, 1) for c in columns[:-2]], pa.array([out["state"]]), text, pa.array([[_clean(w) for w in out["warnings"]]], pa.list_(pa.string())), pa.array([out["error"] and {x: _clean(y) for x, y in out["error"].items()}], _ERROR), pc.cast(pc.binary_length(text), pa.int64())],
-                    names=[*batch.schema.names[:-2], "state", "markdown", "warnings", "error", "bytes"],
-                )
+                held.append(one(columns[at_name][k].as_py(), columns[mime_at][k].as_py() if mime_at is not None else None, columns[-3][k].as_py(), columns[-2][k].as_py(), columns[-1][k].as_py()))
+                size += len(held[-1]["markdown"] or "")
+                if size >= BATCH_BYTES or k == batch.num_rows - 1:
+                    text = pa.array([_clean(x["markdown"]) for x in held], pa.string())
+                    warnings = pa.array([[_clean(w) for w in x["warnings"]] for x in held], pa.list_(pa.string()))
+                    errors = pa.array([x["error"] and {n: _clean(v) for n, v in x["error"].items()} for x in held], _ERROR)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[c.slice(start, len(held)) for c in columns[:-2]], pa.array([x["state"] for x in held], pa.string()), text, warnings, errors, pc.cast(pc.binary_length(text), pa.int64())],
+                        names=[*batch.schema.names[:-2], "state", "markdown", "warnings", "error", "bytes"],
+                    )
+                    start, held, size = k + 1, [], 0
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "format string", RESULT])
     return routed.mapInArrow(run, schema)
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer takes df's size for; nothing is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+
+
 def _clean(text: str | None) -> str | None:
     """Lone surrogates, which no UTF-8 has, become U+FFFD."""
     return text if text is None else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")

@@ -320,6 +320,26 @@ class Engine:
         return found
 
 
+def test_engine_sees_turned_and_bounded_pixels():
+    drawn = np.full((40, 60, 4), 255, np.uint8)
+    drawn[:10, :10] = (0, 0, 0, 255)
+    drawn[30:, 50:, 3] = 0  # clear, so white
+    engine = Engine(image.Recognized("x", 0.9))
+    convert("a.png", fx.drawn_png(drawn, (0, 1, 2, 3, 4)), context=Context(Options(ocr_rotation=90), engine))
+    seen = image.decode_png(engine.seen[0])
+    assert seen.shape == (60, 40, 3) and not seen[:10, 30:].any() and (seen[:10, :30] == 255).all() and (seen[10:] == 255).all()
+    wide = np.zeros((4, 3000, 3), np.uint8)
+    wide[:, ::2] = 255
+    engine = Engine(image.Recognized("y", 0.9))
+    assert convert("b.png", fx.drawn_png(wide), context=Context(recognizer=engine)).warnings[0].startswith("Image was downscaled") and image.image_dimensions(engine.seen[0]) == (limits.RENDER_SIDE, 3)
+
+
+def test_slow_files_end_by_themselves():
+    late = Context(deadline=time.monotonic() - 1)
+    for name, data in (("a.html", "<p>x</p>"), ("a.csv", "a,b\nc,d"), ("a.json", "[1]"), ("a.docx", fx.docx()), ("a.epub", fx.epub()), ("a.pptx", fx.pptx())):
+        assert code(convert, name, data, context=late) == "TIMEOUT"
+
+
 def test_recognition():
     run = lambda engine, data=fx.png(5, 5), **o: convert("a.png", data, context=Context(Options(**o), engine))
     assert run(Engine(image.Recognized(" a|b\nc ", 0.95))).markdown == "a\\|b\nc\n"
