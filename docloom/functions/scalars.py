@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docloom.functions.limits import MIB, ConversionError
 from docloom.functions.markdown import error_rate
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode's compatibility composition."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

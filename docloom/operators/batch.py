@@ -127,7 +127,7 @@ class BatchStore:
     def touched(self) -> DataFrame:
         """(batch_id, at): when something last happened to a batch: it was staged, a run began, or a result came."""
         events = self.jobs().select("batch_id", F.col("created_at").alias("at")).unionByName(self.results().select("batch_id", F.col("created_at").alias("at")))
-        return events.unionByName(self._read("touched", "batch_id string, at bigint")).groupBy("batch_id").agg(F.max("at").alias("at"))
+        return last_events(events.unionByName(self._read("touched", "batch_id string, at bigint")))
 
     def run(self, batch: str, recognizer: object | None = None, at: int | None = None, commits: int = 4) -> None:
         """Convert what is pending; a job whose input is gone ends as INPUT_MISSING. spark.interruptTag(batch) ends a run, which can then be taken up again.
@@ -195,7 +195,7 @@ class BatchStore:
         The results that stay are written whole, then take the old ones' place; a crash in between is mended when the store is next opened.
         """
         at = now_ms() if at is None else at
-        abandoned = [row["batch_id"] for row in self.touched().where(F.col("at") < at - limits.ABANDONED_MS).toLocalIterator()]
+        gone = [row["batch_id"] for row in self.touched().where(abandoned(F.col("at"), at)).toLocalIterator()]
         kept = retained(self.outputs(at, hours), budget).select("job_id")
         rest = self.results().where("state <> 'done'").unionByName(self.results().join(kept, "job_id", "left_semi"))
         mark = uuid.uuid4().hex
@@ -205,7 +205,7 @@ class BatchStore:
             fs.rename(results, self._path(f"results-old-{mark}")[1])
         fs.rename(self._path(f"results-new-{mark}")[1], results)
         self._drop(f"results-old-{mark}")
-        for batch in abandoned:
+        for batch in gone:
             for name in ("jobs", "inputs", "touched"):
                 self._drop(f"{name}/batch_id={batch}")
 
@@ -217,6 +217,16 @@ class BatchStore:
         self._drop("results")
 
 
+def last_events(events: DataFrame) -> DataFrame:
+    """(batch_id, at): the last of each batch's events (batch_id, at)."""
+    return events.groupBy("batch_id").agg(F.max("at").alias("at"))
+
+
+def abandoned(last: Column, at: int) -> Column:
+    """Whether nothing has happened for a day to a batch whose last event was then."""
+    return last < at - limits.ABANDONED_MS
+
+
 def live(rows: DataFrame, at: int, hours: int) -> DataFrame:
     return rows.where(F.col("created_at") + hours * 3_600_000 > at)
 

@@ -81,7 +81,7 @@ def convert(files: DataFrame, *, name: str = "name", content: str = "content", m
 
 def _estimated_bytes(df: DataFrame) -> int:
     """What the optimizer takes df's size for; nothing is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def _clean(text: str | None) -> str | None:

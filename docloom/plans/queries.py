@@ -408,13 +408,14 @@ def xml_source_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def layout_text_lineitem(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as pages whose lines are placed tokens, brought into reading order."""
-    token = F.struct(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("text"), (F.col("l_suppkey") % 500).cast("double").alias("x"), (F.col("l_linenumber") * 20).cast("double").alias("y"))
+    """Orders as pages whose lines are placed tokens, some of them right to left, brought into reading order."""
+    line = F.col("l_linenumber")
+    token = F.struct(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("text"), ((F.col("l_suppkey") % 500).cast("double") + line / 10).alias("x"), (F.floor(line / 2) * 15).cast("double").alias("y"), (F.col("l_suppkey") % 3 == 0).alias("rtl"))
     pages = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
 
     @F.pandas_udf("string")
     def lay(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda page: layout_text([Token(t["text"], t["x"], t["y"], 5.0 * len(t["text"]), 10.0) for t in page])[0])
+        return tokens.map(lambda page: layout_text([Token(t["text"], t["x"], t["y"], 5.0 * len(t["text"]), 10.0, t["rtl"]) for t in page])[0])
 
     return pages.select("l_orderkey", lay("tokens").alias("text"))
 

@@ -102,3 +102,101 @@ def jpeg(make: str) -> bytes:
     tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<HHHII", 1, 271, 2, len(value), 26) + bytes(4) + value
     body = b"Exif\0\0" + tiff
     return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, 1, 1, 1) + b"\1\x11\0\xff\xda\0\2\xff\xd9"
+
+
+def zipped(files: dict[str, str | bytes], method: int = zipfile.ZIP_DEFLATED) -> bytes:
+    """An archive of any files."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", method) as z:
+        for name, data in files.items():
+            z.writestr(zipfile.ZipInfo(name), data, method)
+    return out.getvalue()
+
+
+def patched(data: bytes, sign: bytes, offset: int, value: int) -> bytes:
+    """data with two bytes changed at an offset from the last place of a signature."""
+    at = data.rfind(sign) + offset
+    return data[:at] + struct.pack("<H", value) + data[at + 2 :]
+
+
+def compound(name: str, stream: bytes) -> bytes:
+    """A compound file of 512-byte sectors with one stream: header, allocation table, directory, stream."""
+    free, end, table = 0xFFFFFFFF, 0xFFFFFFFE, 0xFFFFFFFD
+    stream = stream.ljust(max(4096, -(-len(stream) // 512) * 512), b"\0")
+    sectors = len(stream) // 512
+    chain = [table, end, *range(3, sectors + 2), end]
+    tables = -(-len(chain) // 128)
+    if tables > 1:
+        raise ValueError("a small sample only")
+
+    def entry(text: str, kind: int, start: int, size: int, child: int = free) -> bytes:
+        utf16 = text.encode("utf-16-le")
+        return utf16.ljust(64, b"\0") + struct.pack("<HBB3I16x4x16xIII", len(utf16) + 2, kind, 1, free, free, child, start, size, 0)
+
+    header = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH6x10I", 0x3E, 3, 0xFFFE, 9, 6, 0, 1, 1, 0, 4096, end, 0, end, 0, 0)
+    directory = entry("Root Entry", 5, end, 0, 1) + entry(name, 2, 2, len(stream)) + bytes(256)
+    return header.ljust(512, b"\xff") + struct.pack("<128I", *chain, *[free] * (128 - len(chain))) + directory + stream
+
+
+def xls(parts: Parts) -> bytes:
+    """A legacy workbook (BIFF8) with a sheet of numbered names for each part."""
+    record = lambda kind, data=b"": struct.pack("<HH", kind, len(data)) + data
+    begin = lambda kind: record(0x809, struct.pack("<HHHHII", 0x600, kind, 0, 0, 0, 0))
+    text = lambda t: struct.pack("<HB", len(t), 1) + t.encode("utf-16-le")
+    cell = lambda r, c, v: record(0x203, struct.pack("<HHHd", r, c, 0, v)) if isinstance(v, int) else record(0x204, struct.pack("<HHH", r, c, 0) + text(v))
+    bodies = []
+    for _, names in parts:
+        rows = [("No", "Name"), *enumerate(names, 1)]
+        bodies.append(begin(0x10) + b"".join(cell(r, c, v) for r, row in enumerate(rows) for c, v in enumerate(row)) + record(0x0A))
+    name = lambda t: struct.pack("<BB", len(t), 1) + t.encode("utf-16-le")
+    head = begin(0x05) + record(0x42, struct.pack("<H", 1200)) + record(0xE0, bytes(20))
+    at = len(head) + sum(len(record(0x85, bytes(6) + name(t))) for t, _ in parts) + len(record(0x0A))
+    for (t, _), body in zip(parts, bodies, strict=True):
+        head += record(0x85, struct.pack("<IBB", at, 0, 0) + name(t))
+        at += len(body)
+    return compound("Workbook", head + record(0x0A) + b"".join(bodies))
+
+
+#: Cell styles of styled_xlsx: general, a day, two decimals, a share in percent, thousands.
+STYLES = (0, 14, 2, 10, 3)
+
+
+def styled_xlsx(rows: list[list[tuple[float | str, int]]], formula: bool = False, merged: bool = False) -> bytes:
+    """A sheet of (value, index in STYLES); formula: the last cell is a formula with this value; merged: the first two cells of the first row are."""
+    cells = []
+    for r, row in enumerate(rows, 1):
+        line = ""
+        for c, (value, style) in enumerate(row):
+            last = formula and r == len(rows) and c == len(row) - 1
+            body = ("<f>1+1</f>" if last else "") + f"<v>{escape(str(value))}</v>"
+            line += f'<c r="{chr(65 + c)}{r}" s="{style}"' + (' t="str">' if isinstance(value, str) else ">") + body + "</c>"
+        cells.append(f'<row r="{r}">{line}</row>')
+    return _zip({
+        "xl/workbook.xml": f'<workbook xmlns="{SHEET}" xmlns:r="{OFFICE}"><sheets><sheet name="Data" sheetId="1" r:id="r0"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": _relations([("worksheet", "worksheets/s.xml")]),
+        "xl/styles.xml": f'<styleSheet xmlns="{SHEET}"><cellXfs>' + "".join(f'<xf numFmtId="{k}"/>' for k in STYLES) + "</cellXfs></styleSheet>",
+        "xl/worksheets/s.xml": f'<worksheet xmlns="{SHEET}"><sheetData>{"".join(cells)}</sheetData>{"<mergeCells><mergeCell ref=" + chr(34) + "A1:B1" + chr(34) + "/></mergeCells>" if merged else ""}</worksheet>',
+    })
+
+
+def noted_pptx(title: str, names: list[str], notes: str) -> bytes:
+    """A slide with a title, a table of names, a chart and speaker notes."""
+    run = lambda t: f"<a:p><a:r><a:t>{escape(t)}</a:t></a:r></a:p>"
+    shape = lambda t, kind: f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="{kind}"/></p:nvPr></p:nvSpPr><p:txBody>{run(t)}</p:txBody></p:sp>'
+    frame = lambda inner: f"<p:graphicFrame><a:graphic><a:graphicData>{inner}</a:graphicData></a:graphic></p:graphicFrame>"
+    grid = "".join(f"<a:tr><a:tc><a:txBody>{run(a)}</a:txBody></a:tc><a:tc><a:txBody>{run(b)}</a:txBody></a:tc></a:tr>" for a, b in [("No", "Name"), *((str(k), n) for k, n in enumerate(names, 1))])
+    slide = lambda inner: f'<p:sld xmlns:p="{SLIDE}" xmlns:a="{DRAWING}"><p:cSld><p:spTree>{inner}</p:spTree></p:cSld></p:sld>'
+    return _zip({
+        "ppt/presentation.xml": f'<p:presentation xmlns:p="{SLIDE}" xmlns:r="{OFFICE}"><p:sldIdLst><p:sldId id="256" r:id="r0"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": _relations([("slide", "slides/only.xml")]),
+        "ppt/slides/only.xml": slide(shape(title, "title") + frame(f"<a:tbl>{grid}</a:tbl>") + frame('<c:chart xmlns:c="urn:c"/>')),
+        "ppt/slides/_rels/only.xml.rels": _relations([("notesSlide", "../notes/n.xml")]),
+        "ppt/notes/n.xml": slide(shape(notes, "body") + shape("7", "sldNum")),
+    })
+
+
+def picture(values: list[int], width: int, height: int) -> bytes:
+    """A grey PNG whose columns take the values in turn."""
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    row = b"\0" + bytes(values[c % len(values)] for c in range(width))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(row * height)) + chunk(b"IEND", b"")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.limits import MODEL_BYTES, ConversionError
+from docloom.operators.batch import evicted_oldest_first, live, retained
 
 
 @dataclass(frozen=True)
@@ -52,3 +53,14 @@ def supported(records: DataFrame, catalogue: list[Model]) -> DataFrame:
 def model_stats(records: DataFrame) -> DataFrame:
     """(count, bytes); the models' data is not read."""
     return records.agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def kept(records: DataFrame, catalogue: list[Model] | None, at: int, hours: int = 24, budget: int = MODEL_BYTES) -> DataFrame:
+    """Stored records (id, bytes, created_at) that stay: known to the catalogue (None: all are), not older than `hours`, and, newest first, within the budget."""
+    known = records if catalogue is None else supported(records, catalogue)
+    return retained(live(known, at, hours), budget, id_col="id")
+
+
+def with_room_for(records: DataFrame, model: Model, budget: int = MODEL_BYTES) -> DataFrame:
+    """records that stay when the oldest go until a new model fits."""
+    return evicted_oldest_first(records, budget, model.bytes)

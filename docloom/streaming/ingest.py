@@ -11,7 +11,7 @@ from docloom.operators.convert import convert
 from docloom.sources.files import stream_files
 
 
-def start(spark: SparkSession, source: str, target: str, checkpoint: str, options: Options | None = None, recognizer: object | None = None, glob: str | None = None, files_per_trigger: int = 1000, once: bool = True) -> StreamingQuery:
+def start(spark: SparkSession, source: str, target: str, checkpoint: str, options: Options | None = None, recognizer: object | None = None, glob: str | None = None, files_per_trigger: int = 1000, once: bool = True, override: str = "auto") -> StreamingQuery:
     """Convert every new file below source once into target/epoch=N.
 
     The checkpoint remembers which files were seen. An epoch that is run again after a failure overwrites its own folder, so a
@@ -19,7 +19,7 @@ def start(spark: SparkSession, source: str, target: str, checkpoint: str, option
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        done = convert(batch.select("path", "name", "mime", "size", "content"), mime="mime", options=options, recognizer=recognizer)
+        done = convert(batch.select("path", "name", "mime", "size", "content"), mime="mime", override=override, options=options, recognizer=recognizer)
         done.withColumn("converted_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     writer = stream_files(spark, source, glob, files_per_trigger).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -5,10 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from docloom.plans.oracle import ORACLE
+from docloom.plans import formats
+from docloom.plans.oracle import ORACLE as WRITTEN
 from docloom.plans.queries import QUERIES
 from tests import compare
 
+ORACLE = WRITTEN | formats.ORACLE
+
 pytestmark = pytest.mark.skipif(not compare.has_data(), reason="no test data here")
 
 
@@ -18,8 +21,7 @@ def con():
 
 
 def test_every_sql_has_a_query():
-    assert set(ORACLE) <= set(QUERIES) and set(QUERIES) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLE) == {"html_to_markdown_pages", "layout_text_lineitem"}
+    assert set(ORACLE) == set(QUERIES) and set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -27,9 +29,6 @@ def test_rows(spark, con, name):
     compare.assert_same(spark, con, QUERIES[name], ORACLE[name])
 
 
-def test_rows_without_sql(spark):
+def test_entry(spark):
     pages = entry.entry(spark).collect()
     assert len(pages) > 0 and all(p.state == "done" and p.bytes == len(p.markdown.encode()) and "track(" not in p.markdown for p in pages)
-    lines = QUERIES["layout_text_lineitem"](spark, compare.DATA)
-    items = spark.read.parquet(f"{compare.DATA}/lineitem.parquet").count()
-    assert sum(r.text.count("p") for r in lines.collect()) == items
