@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.words import SLICE_BYTES, mix, slices, split_words
+from docloom.llm.words import SLICE_BYTES, keep_rows, mix, slices, split_words
 
 ORDERS, BUCKETS = (1, 2, 3), 1 << 15
 #: Labelled documents of a language that are learned from (chosen by a hash of the id), and languages up to which each has BUCKETS buckets of n-grams.
@@ -26,6 +27,8 @@ ROUNDS, PENALTY, SMOOTHING = 10, 3.0, 0.5
 WORDS_AT_ONCE, FEW_LANGUAGES = 16384, 8
 UNDETERMINED = "und"
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Scripts that are written without spaces, and characters of them that are taken together as a word is in others.
+SPACELESS, UNIT = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}", 4
 
 
 def n_buckets(languages: int) -> int:
@@ -33,6 +36,11 @@ def n_buckets(languages: int) -> int:
     return max(64, min(BUCKETS, 1 << (MANY_LANGUAGES * BUCKETS // max(languages, 1)).bit_length() - 1))
 
 
+def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """split_words of texts, with runs of scripts that have no spaces cut into units of UNIT characters."""
+    return split_words(pc.replace_substring_regex(pc.fill_null(texts, ""), pattern=f"([{SPACELESS}]{{{UNIT}}})", replacement=r"\1 "))
+
+
 def ngram_buckets(words: list[str], size_of: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets, orders, word numbers) of the n-grams of the letter runs in words, each run padded by a space on both sides."""
     runs = [(k, f" {run} ") for k, w in enumerate(words) for run in LETTERS.findall(w.lower())]
@@ -62,6 +70,11 @@ class Model:
     languages: list[str]
     table: np.ndarray
 
+    @property
+    def chance(self) -> float:
+        """The log-likelihood of an n-gram that is no likelier than any other, divided by the number of orders."""
+        return -float(np.log(self.table.shape[1])) / len(ORDERS)
+
     @property
     def slice_bytes(self) -> int:
         """Text that is handled at once: there is a number for each word and language."""
@@ -73,6 +86,13 @@ class Model:
         parts = [self._some_scores(words[a : a + step]) for a in range(0, len(words), step)]
         return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)))
 
+    @staticmethod
+    def word_grams(words: list[str]) -> np.ndarray:
+        """How many n-grams of all orders each word has."""
+        runs = np.array([[k, len(run)] for k, w in enumerate(words) for run in LETTERS.findall(w.lower())], np.int64).reshape(-1, 2)
+        grams = sum(runs[:, 1] if order == 1 else np.maximum(runs[:, 1] + 3 - order, 0) for order in ORDERS)
+        return np.bincount(runs[:, 0], grams, minlength=len(words))
+
     def _some_scores(self, words: list[str]) -> np.ndarray:
         out = np.full((len(words), len(self.languages)), np.nan)
         buckets, orders, owners = ngram_buckets(words, self.table.shape[1])
@@ -99,17 +119,20 @@ def _em(likelihood: np.ndarray, offset: np.ndarray, begin: np.ndarray, size: np.
     return share, total
 
 
-def infer(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(shares over all languages, shares in the chosen set), both (texts, languages) and 0 where a text has no letter."""
+def infer(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shares over all languages, shares in the chosen set, fit), the first two (texts, languages) and 0 where a text has no letter.
+
+    fit: by how much the chosen set makes the text's n-grams likelier than chance, as a log-likelihood for all; 0 where a text has no letter.
+    """
     n, n_langs = len(texts), len(model.languages)
-    plain, chosen = np.zeros((n, n_langs)), np.zeros((n, n_langs))
-    counts, ids, words = split_words(texts)
+    plain, chosen, fit = np.zeros((n, n_langs)), np.zeros((n, n_langs)), np.zeros(n)
+    counts, ids, words = units(texts)
     scores = model.word_scores(words.to_pylist())
     keep = ~np.isnan(scores[ids, 0]) if n_langs and len(ids) else np.zeros(len(ids), bool)
     doc = np.repeat(np.arange(n), counts)[keep]
     ids = ids[keep]
     if not len(ids):
-        return plain, chosen
+        return plain, chosen, fit
     begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     rows = doc[begin]
     size = np.diff(np.r_[begin, len(doc)])
@@ -122,6 +145,7 @@ def infer(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     picked = np.zeros_like(share)
     picked[np.arange(len(rows)), single.argmax(1)] = 1
     value = single.max(1)
+    likelihood_of = value.copy()
     price = PENALTY * np.log(size + 1.0)
     order = np.argsort(-share, axis=1, kind="stable")
     for k in range(2, n_langs + 1):
@@ -137,8 +161,10 @@ def infer(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         better = total - (k - 1) * price[maybe] > value[maybe]
         picked[maybe[better]] = got[better]
         value[maybe[better]] = (total - (k - 1) * price[maybe])[better]
+        likelihood_of[maybe[better]] = total[better]
     chosen[rows] = picked
-    return plain, chosen
+    fit[rows] = likelihood_of - np.add.reduceat(model.word_grams(words.to_pylist())[ids], begin) * model.chance
+    return plain, chosen, fit
 
 
 def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
@@ -161,7 +187,7 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(languages) * len(ORDERS) * width, np.int64)
         for batch in slices(batches, "text"):
-            counts, ids, words = split_words(batch.column("text"))
+            counts, ids, words = units(batch.column("text"))
             lang = np.repeat(np.array([at[x] for x in batch.column("lang").to_pylist()]), counts)
             buckets, orders, owners = ngram_buckets(words.to_pylist(), width)
             uses, back = np.unique(ids.astype(np.int64) * len(languages) + lang, return_counts=True)
@@ -182,8 +208,8 @@ def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     return Model(languages, np.ascontiguousarray(table.transpose(1, 2, 0)).astype(np.float32))
 
 
-def _judge(model: Model, texts: pa.Array) -> tuple[list[str], list[float], list[list[str]], list[list[float]]]:
-    plain, chosen = infer(model, texts)
+def _judge(model: Model, texts: pa.Array) -> tuple[list[str], list[float], list[list[str]], list[list[float]], list[float]]:
+    plain, chosen, fit = infer(model, texts)
     top = chosen.argmax(1) if model.languages else np.zeros(len(texts), int)
     langs, scores, sets, shares = [], [], [], []
     for k in range(len(texts)):
@@ -198,7 +224,7 @@ def _judge(model: Model, texts: pa.Array) -> tuple[list[str], list[float], list[
         parts = [i for i in np.argsort(-chosen[k], kind="stable") if chosen[k, i] > 0]
         sets.append([model.languages[i] for i in parts])
         shares.append([float(chosen[k, i]) for i in parts])
-    return langs, scores, sets, shares
+    return langs, scores, sets, shares, fit.tolist()
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -212,7 +238,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", model.slice_bytes):
-            langs, scores, sets, shares = _judge(model, batch.column("__text"))
+            langs, scores, sets, shares, _ = _judge(model, batch.column("__text"))
             columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score", "languages", "shares"])
 
@@ -220,12 +246,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return narrow.mapInArrow(run, f"{kinds}, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
-def keep_identified(docs: DataFrame, model: Model, least_share: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, unchanged, but for those that are `und` or whose language has a score under least_share."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, unchanged, but for those that are `und`, and those whose chosen languages explain their n-grams no better than chance does.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, model.slice_bytes):
-            langs, scores, _, _ = _judge(model, batch.column(text_col))
-            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least_share for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
+    A text that mixes languages stays, however even their shares are.
+    """
+
+    def judge(texts: pa.Array) -> np.ndarray:
+        langs, _, _, _, fit = _judge(model, texts)
+        return (np.array(langs, object) != UNDETERMINED) & (np.array(fit) > 0)
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, text_col, judge, model.slice_bytes)

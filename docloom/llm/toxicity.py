@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.words import slices, split_words
+from docloom.llm.words import keep_rows, slices, split_words
 from docloom.session import materialize
 
 #: Labelled documents that are learned from, about (chosen by a hash of the id); most learned lexicon words.
@@ -316,8 +316,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, unchanged, whose score is under 0.5."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            yield batch.filter(pa.array(model.score(batch.column(text_col)) < 0.5))
-
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, text_col, lambda texts: model.score(texts) < 0.5)
