@@ -2,8 +2,9 @@
 
 Words of equal length advance together: hashes of all their substrings probe the sorted keys of the vocabulary's pieces, and
 for each end position the best of the candidate last pieces, by vectorised maxima, is stored as a backpointer.
-The segmentation has the greatest sum of the model's piece scores, the longest last piece among equals; a character in no
-piece is spelt in byte pieces.
+The segmentation has the greatest sum of piece scores, the longest last piece among equals; a character in no
+piece is spelt in byte pieces. A unigram model's scores are its own. A model of merges has ranks in their place, which are no
+probabilities: a rank r there counts as log(1 / (r + RANK_OFFSET)), the law of Zipf and Mandelbrot for the r-th most frequent piece.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SPACE = "▁"
 #: A text's own U+2581 is not a space: it takes this code, which no piece has, and so is spelt in bytes.
 OWN_SPACE = 0x110000
 UNKNOWN_PENALTY = 10.0
+#: Kind of model with merge ranks for scores, what is added to a rank, and scores below which a piece is there for completeness only.
+MERGES, RANK_OFFSET, NEVER = 2, 100.0, -1e8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BLOCK, GROUP = 2048, 1 << 18
 
@@ -71,13 +74,15 @@ class Pieces:
 
     @classmethod
     def parse(cls, data: bytes) -> Pieces:
-        out = cls([], [], [])
+        out, kind = cls([], [], []), 1
         for number, value in _fields(data):
             if number == 1:
                 fields = dict(_fields(value))
                 out.texts.append(fields[1].decode())
                 out.scores.append(struct.unpack("<f", fields[2])[0] if 2 in fields else 0.0)
                 out.kinds.append(fields.get(3, NORMAL))
+            elif number == 2:
+                kind = dict(_fields(value)).get(3, 1)
             elif number == 3:
                 spec = dict(_fields(value))
                 if spec.get(2):
@@ -85,6 +90,8 @@ class Pieces:
                 out.dummy_prefix = bool(spec.get(3, 1))
                 if spec.get(4, 1):
                     raise ValueError("a model that drops white space cannot be decoded to the text")
+        if kind == MERGES:
+            out.scores = [score if score < NEVER else -float(np.log(RANK_OFFSET - score)) for score in out.scores]
         return out
 
 

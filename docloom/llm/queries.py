@@ -60,18 +60,23 @@ def op6_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.predict(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
-#: The SentencePiece model that is used; its place is a parameter of the environment's, never part of the repository.
-PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The SentencePiece model that is used where the session's PIECES_SETTING names no other; its place is a parameter, never part of the repository.
+PIECES_SETTING, PIECES_MODEL = "docloom.pieces.model", "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def pieces_model(path: str = PIECES_MODEL) -> bytes:
-    with open(path, "rb") as f:
-        return f.read()
+def pieces_model(spark: SparkSession) -> bytes:
+    """The model file's content, read on the driver."""
+    path = spark.conf.get(PIECES_SETTING, PIECES_MODEL)
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError as error:
+        raise FileNotFoundError(f"No SentencePiece model at {path}; name one in the session's setting {PIECES_SETTING}.") from error
 
 
 def op7_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     """Every document encoded, and decoded again."""
-    return pieces.encode_documents(table(spark, d, "documents"), pieces_model())
+    return pieces.encode_documents(table(spark, d, "documents"), pieces_model(spark))
 
 
 def op9_order_minhash(spark: SparkSession, d: str) -> DataFrame:

@@ -51,13 +51,27 @@ def test_library_agrees_on_the_scores_best_segmentation():
 
     data = open(MODEL, "rb").read()
     at = data.rfind(b"\x18\x02 \x80\xfa\x01")  # the model type, which says BPE: the library is told to take the best sum of scores
-    library = sentencepiece.SentencePieceProcessor(model_proto=data[:at] + b"\x18\x01" + data[at + 2 :])
-    codec = Codec(Pieces.parse(data))
+    summed = data[:at] + b"\x18\x01" + data[at + 2 :]
+    library = sentencepiece.SentencePieceProcessor(model_proto=summed)
+    codec = Codec(Pieces.parse(summed))
     texts = ["Hello world, this is a sentence of words.", "tokenization unbelievably running", "Señor déjà vu Straße", "names and (signs)"]
     for text in texts:
         assert codec.encode([text])[1].tolist() == library.encode(text)
 
 
+@needs_model
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test data here")
+def test_length_is_near_the_library_s(spark):
+    """Ranks of merges taken as frequencies: as many pieces as merging gives, within 3 %."""
+    import sentencepiece
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").orderBy("doc_id").limit(300).collect()]
+    data = open(MODEL, "rb").read()
+    counts, _ = Codec(Pieces.parse(data)).encode(texts)
+    theirs = sum(map(len, sentencepiece.SentencePieceProcessor(model_proto=data).encode(texts, num_threads=1)))
+    assert abs(counts.sum() / theirs - 1) < 0.03
+
+
 @needs_model
 def test_documents(spark):
     rows = [(i, words(i, i % 60)) for i in range(200)] + [*ODD, (5, "x" * 20000), (6, "日本語 \t\r\n  ▁▁ \x00 z")]
