@@ -37,7 +37,7 @@ def test_stages(spark, tmp_path):
 def test_stages_on_odd_rows(spark):
     """Nulls in every column, blanks, repeated rows, columns with clashing names, and no rows at all."""
     rows = [(i, words(i, 5 + i % 40)) for i in range(40)] + ODD + [(50, words(1, 30), None, None), (51, words(1, 30), "en", "x y")]
-    docs = documents(spark, rows).selectExpr("*", "1 AS epoch", "'q' AS n_tokens", "2 AS id", "3 AS component_id", "4 AS row", "CAST(NULL AS INT) AS nothing")
+    docs = documents(spark, rows).selectExpr("*", "1 AS epoch", "'q' AS n_tokens", "2 AS id", "3 AS component_id", "4 AS row", "CAST(NULL AS INT) AS nothing", "5 AS `a.b`", "6 AS `c d`")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, DATA)
         if k < 4:
