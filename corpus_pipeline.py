@@ -13,7 +13,7 @@ MIX_SHARE = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus' labelled documents have; those without letters or a leading language go."""
+    """Documents in languages that the corpus' labelled documents have, one or several; those without letters, or that no learned language explains better than chance, go."""
     ensure_importable(spark)
     model = langid.learn(docs, queries.remainder(5) != 0)
     return langid.keep_identified(docs, model)
@@ -47,14 +47,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents taken by target weights of domains, languages and sources."""
-    whole = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("row"))  # columns of any name pass through
+    whole = docs.select("doc_id", "text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # columns of any name pass through
     return mixing.mix(whole, queries.mix_levels(), queries.MIX_WEIGHTS, share=MIX_SHARE, max_epochs=1, keep=("row",)).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token numbers of every document that is left, with the check that decoding gives its text back."""
     ensure_importable(spark)
-    return pieces.encode_documents(docs, queries.pieces_model())
+    return pieces.encode_documents(docs, queries.pieces_model(spark))
 
 
 STAGES = [("language_id", language), ("toxicity", toxic), ("jaccard_join", near_duplicates), ("source_mixing", mixed), ("sentencepiece", encoded)]
