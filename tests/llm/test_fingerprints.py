@@ -9,7 +9,8 @@ def test_pairs(spark, monkeypatch):
     rows = [(3 * i, words(i, 20 + i % 200, 500)) for i in range(150)] + [(7, "a b c"), (8, "a b c"), (10, "a " * 300), (-5, "z"), *ODD]
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 16)
     got = fingerprints.fingerprint_pairs(documents(spark, rows)).collect()
-    ordered = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    tie = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) AS h").collect()}
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), tie[x[1]], x[1]))
     want = []
     for k, (i, t) in enumerate(ordered):
         nxt = ordered[(k + 1) % len(ordered)][1]
@@ -53,7 +54,7 @@ def test_against_brute_force(spark):
     for d in grams:
         seen, own = {}, []
         for i, g in enumerate(d):
-            key = (h[g] % (1 << 64)) >> 28
+            key = (h[g] % (1 << 64)) >> 64 - fingerprints.KMER_BITS
             own.append((key, seen.setdefault(key, 0), i, h[g]))
             seen[key] += 1
         numbered.append(own)
@@ -67,13 +68,49 @@ def test_against_brute_force(spark):
         bins = {}
         for a, b, i, g in d:
             v = h2[a, b]
-            bins.setdefault(v >> 58, []).append(((v >> 28) & ((1 << 30) - 1), i, g))
-        for b, own in sorted(bins.items()):
-            least = sorted(sorted(own)[: fingerprints.TUPLE], key=lambda x: x[1])
-            tuples.append(([g for _, _, g in least] + [None] * fingerprints.TUPLE)[: fingerprints.TUPLE])
+            bins.setdefault(v >> 58, []).append(((v >> 58 - fingerprints.RANK_BITS) & ((1 << fingerprints.RANK_BITS) - 1), i, g))
+        chosen = [(b, sorted([x[1:] for x in sorted(own)[: fingerprints.TUPLE]])) for b, own in sorted(bins.items())]
+        for k, (b, least) in enumerate(chosen):
+            if len(least) == 1 and len(chosen) > 1:
+                least = sorted([*least, chosen[(k + 1) % len(chosen)][1][0]])
+            tuples.append(([g for _, g in least] + [None])[: fingerprints.TUPLE])
             entries.append((n, b))
     hashes = xx(("bigint", fingerprints.TUPLE), tuples)
     want = {n: "" for n in range(len(texts))}
     for (n, b), x in zip(entries, hashes):
         want[n] += f"{b:02X}{(x % (1 << 64)) >> 32:08X}"
     assert got == want
+
+
+def test_buckets_whatever_ids_are_like(spark, monkeypatch):
+    """Bounded buckets for an outlier, an id that half of the rows have, and nulls; their order is that of the rows."""
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(fingerprints, "REGIONS", 16)
+    r = random.Random(3)
+    rows = [(r.choice([77] * 5 + [None] * 2 + [10**15, -(2**63), 2**63 - 1] + [r.randrange(3000) for _ in range(5)]), words(i, 8)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    got = fingerprints._with_buckets(docs).collect()
+    assert len(got) == 2000
+    size, ids = {}, {}
+    for x in got:
+        size[x.bucket] = size.get(x.bucket, 0) + 1
+        ids.setdefault(x.id, set()).add(x.bucket)
+    assert max(size.values()) <= 2 * 2000 / 16 and len(size) > 50  # an id of less than two regions' rows stays whole
+    assert len(ids[77]) > 15 and max(size[b] for b in ids[77]) < 50 and len(ids[None]) > 5 and max(size[b] for b in ids[None]) < 50
+    ordered = sorted(got, key=lambda x: (x.id is None, -(x.id or 0), x.tie))
+    assert [x.bucket for x in ordered] == sorted((x.bucket for x in got), reverse=True)
+    near = fingerprints._neighbours(docs)
+    assert near.where("guest = 0").count() == 2000 and near.where("guest = 1").count() == len(size)
+
+
+def test_order_counts_in_short_texts(spark):
+    """Passages of a text of 40 words that change places: the sets of k-mers are nearly the same, the fingerprint is not."""
+    rows = []
+    for i in range(60):
+        w = words(i, 40, 10**6).split()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[20:] + w[:20]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: x.fingerprint for x in fingerprints.fingerprint(df).collect()}
+    cut = lambda f: {f[k : k + 10] for k in range(0, len(f), 10)}
+    same = [len(cut(found[2 * i]) & cut(found[2 * i + 1])) / len(cut(found[2 * i])) for i in range(60)]
+    assert sum(same) / 60 < 0.6 and all(found[2 * i] != found[2 * i + 1] for i in range(60))
