@@ -32,6 +32,7 @@ from docloom.llm.words import hashes, mix, slices, split_words
 from docloom.session import materialize
 
 #: Text bytes of a chunk and tokens of a shard (of order 2; half of it for order 3), and the share of the corpus from which a word or pair is dealt out.
+#: A word of a smaller share stays in one shard, whose size therefore is bounded up to SHARD_TOKENS / HOT tokens, and grows with the corpus beyond.
 CHUNK_BYTES, SHARD_TOKENS, HOT = 16 << 20, 4_000_000, 1 / 4000
 #: A word has no white space, so these are no words' hashes but by chance.
 END, START = np.uint64(xxhash.xxh64_intdigest(b" end")), np.uint64(xxhash.xxh64_intdigest(b" start"))
@@ -43,17 +44,31 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """An array's bytes, lowest first for all items, then the next ones, compressed."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    """An array's bytes, lowest first for all items, then the next ones, compressed; before them the size of an item."""
+    size = values.dtype.itemsize
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, size).T
+    return bytes([size]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def expand(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+def expand(data: bytes, kind: type | None = None) -> np.ndarray:
+    """What squeeze made bytes of; without a kind these are counts, of the size they were stored with."""
+    kind = np.dtype(f"u{data[0]}" if kind is None else kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), np.uint8).reshape(kind.itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
+def counts(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in 32 bits where all fit, else in 64."""
+    return x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64)
+
+
+def _put(into: np.ndarray, at: object, x: np.ndarray) -> np.ndarray:
+    """into with x at a place, widened where x is wider."""
+    into = into if into.dtype.itemsize >= x.dtype.itemsize else into.astype(x.dtype)
+    into[at] = x
+    return into
+
+
 class HashTable:
     """Sorted 64-bit hashes with columns of numbers, mapped into memory from an unnamed file."""
 
@@ -255,17 +270,17 @@ def _row(kind: str, part: int, chunk: str | None, *arrays: np.ndarray) -> pa.Rec
 
 def _merge_grams(layout: Layout):
     def run(rows: pa.Table) -> pa.Table:
-        out, us, vs, ws, repeats, counts, chunks = [], [], [], [], [], [], []
+        out, us, vs, ws, repeats, times, chunks = [], [], [], [], [], [], []
         for row in rows.to_pylist():
             words = expand(row["c"], np.uint64)
             vs.append(np.repeat(expand(row["a"], np.uint64), expand(row["b"], np.uint32)))
             ws.append(words[expand(row["d"], np.uint32)])
             repeats.append(expand(row["e"], np.uint32))
             us.append(words[expand(row["f"], np.uint32)])
-            counts.append(expand(row["g"], np.uint32))
+            times.append(expand(row["g"], np.uint32))
             chunks.append((row["part"], row["chunk"], len(vs[-1]), len(us[-1])))
-        u, v, w, c, repeat = (np.concatenate(x) for x in (us, vs, ws, counts, repeats))
-        del us, vs, ws, counts, repeats, rows
+        u, v, w, c, repeat = (np.concatenate(x) for x in (us, vs, ws, times, repeats))
+        del us, vs, ws, times, repeats, rows
         pair_key = pair_hash(v, w)
         of = np.repeat(np.arange(len(v), dtype=np.int32), repeat)
         key = pair_hash(pair_key[of], u)
@@ -273,7 +288,7 @@ def _merge_grams(layout: Layout):
         begin = _starts(key[order])
         total = np.add.reduceat(c[order].astype(np.int64), begin)
         del c
-        grams = HashTable(key[order][begin], total.astype(np.uint32))
+        grams = HashTable(key[order][begin], counts(total))
         seen = total > 0
         first, total = order[begin[seen]], total[seen]
         del order, begin, seen
@@ -284,7 +299,7 @@ def _merge_grams(layout: Layout):
         is_shared = np.isin(v, np.array(layout.hot, np.uint64))
         context, at, back = np.unique(pair_hash(one[whole], v[of[whole]]), return_index=True, return_inverse=True)
         partial = is_shared[of[whole][at]]
-        stats = [np.bincount(back, x, minlength=len(context)).astype(np.uint32) for x in _counted(total[whole])]
+        stats = [counts(np.bincount(back, x, minlength=len(context))) for x in _counted(total[whole])]
         contexts = HashTable(context, *stats)
         distinct, at, back = np.unique(pair_key[of], return_index=True, return_inverse=True)
         a2, at = np.bincount(back, adds, minlength=len(distinct)).astype(np.int64), of[at]
@@ -294,20 +309,20 @@ def _merge_grams(layout: Layout):
         if is_hot.any():
             place = np.argsort(hot)
             mine[place[np.searchsorted(hot[place], distinct[is_hot])]] = a2[is_hot]
-        pairs = HashTable(distinct[~is_hot], a2[~is_hot].astype(np.uint32))
+        pairs = HashTable(distinct[~is_hot], counts(a2[~is_hot]))
         end, pair_end = 0, 0
         where = np.repeat(np.arange(len(v), dtype=np.int32), repeat)
         for part, chunk, n_pairs, n in chunks:
             k, p = slice(end, end + n), slice(pair_end, pair_end + n_pairs)
-            of_context = [np.where(is_shared[where[k]], np.uint32(0), x) for x in contexts.get(pair_hash(u[k], v[where[k]]))]
+            of_context = [np.where(is_shared[where[k]], x.dtype.type(0), x) for x in contexts.get(pair_hash(u[k], v[where[k]]))]
             out.append(_row("gram answers", part, chunk, grams.get(key[k])[0], pairs.get(pair_key[p])[0], *of_context))
             end, pair_end = end + n, pair_end + n_pairs
         by_v, back = np.unique(v, return_inverse=True)
-        sums = [np.bincount(back[at[~is_hot]], x, minlength=len(by_v)).astype(np.uint32) for x in _counted(a2[~is_hot])]
-        sums.append(np.bincount(back, raw, minlength=len(by_v)).astype(np.uint32))
+        sums = [counts(np.bincount(back[at[~is_hot]], x, minlength=len(by_v))) for x in _counted(a2[~is_hot])]
+        sums.append(counts(np.bincount(back, raw, minlength=len(by_v))))
         by_w, continued = np.unique(w[at[~is_hot]], return_counts=True)
         known = sums[-1] > 0
-        for kind, keys, columns in (("contexts", by_v[known], [x[known] for x in sums]), ("continuations", by_w, [continued.astype(np.uint32)]), ("pair contexts", context[partial], [x[partial] for x in stats])):
+        for kind, keys, columns in (("contexts", by_v[known], [x[known] for x in sums]), ("continuations", by_w, [counts(continued)]), ("pair contexts", context[partial], [x[partial] for x in stats])):
             cuts = _cut(_top_bits(keys, layout.bits), 1 << layout.bits)
             for s in range(1 << layout.bits):
                 a, b = cuts[s], cuts[s + 1]
@@ -357,7 +372,7 @@ def _sums(rows: list[dict], n: int) -> tuple[np.ndarray, list[np.ndarray]]:
         return np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * n
     keys = np.concatenate([expand(r["a"], np.uint64) for r in rows])
     distinct, back = np.unique(keys, return_inverse=True)
-    return distinct, [np.bincount(back, np.concatenate([expand(r[c], np.uint32) for r in rows]), minlength=len(distinct)).astype(np.int64) for c in "bcdef"[:n]]
+    return distinct, [np.bincount(back, np.concatenate([expand(r[c]) for r in rows]), minlength=len(distinct)).astype(np.int64) for c in "bcdef"[:n]]
 
 
 def _merge_words(rows: pa.Table) -> pa.Table:
@@ -367,9 +382,9 @@ def _merge_words(rows: pa.Table) -> pa.Table:
     contexts, stats = _sums(by_kind.get("contexts", []), 5)
     shared, of_pair = _sums(by_kind.get("pair contexts", []), 4)
     words, continued = _sums(by_kind.get("continuations", []), 1)
-    as_context = HashTable(contexts, *[s.astype(np.uint32) for s in stats])
-    as_pair = HashTable(shared, *[x.astype(np.uint32) for x in of_pair])
-    as_word = HashTable(words, continued[0].astype(np.uint32))
+    as_context = HashTable(contexts, *map(counts, stats))
+    as_pair = HashTable(shared, *map(counts, of_pair))
+    as_word = HashTable(words, counts(continued[0]))
     out = []
     for row in by_kind.get("words", []):
         keys = expand(row["a"], np.uint64)
@@ -436,17 +451,17 @@ def _score(layout: Layout, totals: Totals):
                 s = answer["part"]
                 if answer["kind"] == "gram answers":
                     own = slice(cuts[s], cuts[s + 1])
-                    count[own] = expand(answer["a"], np.uint32)
-                    pairs[g.pair[own][_starts(g.pair[own])]] = expand(answer["b"], np.uint32)
+                    count = _put(count, own, expand(answer["a"]))
+                    pairs[g.pair[own][_starts(g.pair[own])]] = expand(answer["b"])
                     for k, c in enumerate("cdef"):
-                        of_context[k, own] = expand(answer[c], np.uint32)
+                        of_context = _put(of_context, (k, own), expand(answer[c]))
                 elif answer["kind"] == "shared answers":
                     for k, c in enumerate("abcd"):
-                        of_shared[k, shared_cuts[s] : shared_cuts[s + 1]] = expand(answer[c], np.uint32)
+                        of_shared = _put(of_shared, (k, slice(shared_cuts[s], shared_cuts[s + 1])), expand(answer[c]))
                 else:
                     for k, c in enumerate("abcdef"):
-                        stats[k, word_cuts[s] : word_cuts[s + 1]] = expand(answer[c], np.uint32)
-            of_context[:, g.place[at]] = of_shared[:, back]
+                        stats[k, word_cuts[s] : word_cuts[s + 1]] = expand(answer[c])
+            of_context = _put(of_context, (slice(None), g.place[at]), of_shared[:, back])
             if layout.pairs:
                 hot = layout.pair_keys()
                 key = pair_hash(hashed[g.v], hashed[g.w])
@@ -484,13 +499,13 @@ def _release(spark) -> None:
         time.sleep(1)
 
 
-def _hot_rows(layout: Layout, counts: list[int]) -> list[tuple]:
+def _hot_rows(layout: Layout, found: list[int]) -> list[tuple]:
     """What the hot pairs, at most 1 / HOT, add to their words as contexts and continuations."""
-    seen = np.flatnonzero(np.array(counts) > 0)
+    seen = np.flatnonzero(np.array(found) > 0)
     v, w = np.array(layout.pairs, np.uint64)[seen].T
-    stats = [np.asarray(x).astype(np.uint32) for x in (*_counted(np.array(counts)[seen]), np.zeros(len(seen)))]
+    stats = [counts(np.asarray(x)) for x in (*_counted(np.array(found)[seen]), np.zeros(len(seen), np.int64))]
     rows = []
-    for kind, keys, columns in (("contexts", v, stats), ("continuations", w, [np.ones(len(seen), np.uint32)])):
+    for kind, keys, columns in (("contexts", v, stats), ("continuations", w, [counts(np.ones(len(seen), np.int64))])):
         part = _top_bits(keys, layout.bits)
         for s in np.unique(part):
             rows += _row(kind, int(s), None, keys[part == s], *[x[part == s] for x in columns]).to_pylist()
@@ -498,12 +513,12 @@ def _hot_rows(layout: Layout, counts: list[int]) -> list[tuple]:
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
-    """For each row of docs: id (as long), train, n_tokens, n_known, train_tokens, base_score, score.
+    """For each row of docs: id (as long), train, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Tokens are the words of the text after lower-casing A to Z, then an end. The model learns from rows for which `train` holds. score is
     its log10 probability of the text: of each token given the order - 1 before; order is 2 or 3. Orders below the highest count the words that
     an n-gram follows, and those of n-grams at a text's start how often it occurs. base_score is the sum of log10((c + 0.1) / (N + 0.1 (V + 1))) of the
-    tokens' counts c among the N training tokens with V distinct ones; n_known counts tokens with c > 0.
+    tokens' counts c among the N training tokens with V distinct ones; n_known counts tokens with c > 0. perplexity is 10 ** (-score / n_tokens).
 
     A null or empty text has the end alone. Repeated rows are documents each for itself, a null id stays null, and a null `train` counts
     as false; other columns are neither read nor returned. An empty table gives no rows; without training rows every token has probability 1.
@@ -558,4 +573,4 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     totals = Totals(u[7] + documents, n_words, documents, u[5], discounts(total(merged, "trigram totals", 4)), discounts(t), e, rest / (n_words + 1), tuple(u[8:12]), tuple(hot_counts))
     answers = merged.where(F.col("kind") == "gram answers").unionByName(words.where(F.col("kind").isin("word answers", "shared answers")))
     found = body.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(layout, totals), "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return found.withColumnRenamed("id", id_col)
+    return found.withColumnRenamed("id", id_col).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -45,7 +45,7 @@ LM_ORDER = 3
 def op4_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
     """The log10 probability of every document by a model of order LM_ORDER, learned from the folds 1 to 9 of 10."""
     found = kneserney.score(table(spark, d, "documents"), remainder(10) != 0, order=LM_ORDER)
-    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op5_jaccard_join(spark: SparkSession, d: str) -> DataFrame:

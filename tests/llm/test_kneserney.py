@@ -69,6 +69,20 @@ def test_hash_table_and_packing():
         assert (kneserney.expand(kneserney.squeeze(a), a.dtype) == a).all()
 
 
+def test_counts_beyond_32_bits():
+    """A word that occurs five thousand million times: sums of shards, answers and what is put together of them."""
+    many = np.array([3, 5 * 10**9, 1], np.int64)
+    packed = kneserney.squeeze(kneserney.counts(many))
+    assert kneserney.counts(many[:1]).dtype == np.uint32 and kneserney.expand(packed).tolist() == many.tolist()
+    keys = np.array([1, 2, 3], np.uint64)
+    rows = [{"a": kneserney.squeeze(keys), "b": packed}, {"a": kneserney.squeeze(keys[:2]), "b": kneserney.squeeze(kneserney.counts(many[:1].repeat(2)))}]
+    distinct, (sums,) = kneserney._sums(rows, 1)
+    assert sums.tolist() == [6, 5 * 10**9 + 3, 1]
+    assert kneserney.HashTable(distinct, kneserney.counts(sums)).get(keys)[0].tolist() == sums.tolist()
+    into = kneserney._put(np.zeros((2, 3), np.uint32), (1, slice(0, 3)), kneserney.expand(packed))
+    assert into.tolist() == [[0, 0, 0], many.tolist()]
+
+
 def brute_trigram(rows, train):
     """score of the model of order 3 by its formulas, with dictionaries."""
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
