@@ -57,6 +57,28 @@ def min_cost_flow(supply: Sequence[int], capacity: Sequence[int], cost: Sequence
     return flow
 
 
+def stay_or_move(supply: Sequence[int], capacity: Sequence[int]) -> list[tuple[int, int, int]]:
+    """(old, new, amount): min_cost_flow's for a cost of 0 where a byte stays in its shard and of 1 in any other, on a sparse network.
+
+    All moves cost the same, so they may pass one hub: successive shortest paths are then those that stay, as far as capacities go, and after
+    them those from the shards with something left, through the hub, to the ones with room, in order. There are as many amounts as shards, not as pairs of them.
+    """
+    if sum(supply) > sum(capacity):
+        raise ValueError("the new shards cannot hold what the old ones have")
+    kept = [min(s, capacity[i]) if i < len(capacity) else 0 for i, s in enumerate(supply)]
+    flow = [(i, i, k) for i, k in enumerate(kept) if k]
+    room = [c - (kept[j] if j < len(kept) else 0) for j, c in enumerate(capacity)]
+    j = 0
+    for i, left in enumerate(s - k for s, k in zip(supply, kept, strict=True)):
+        while left:
+            while not room[j]:
+                j += 1
+            amount = min(left, room[j])
+            flow.append((i, j, amount))
+            left, room[j] = left - amount, room[j] - amount
+    return flow
+
+
 def even(total: int, parts: int) -> list[int]:
     return [total // parts + (i < total % parts) for i in range(parts)]
 
@@ -94,22 +116,23 @@ def _plan(docs: DataFrame, old_shard: Column, n_old: int, n_new: int, id_col: st
     totals = {r[0]: (r[1], r[2]) for r in rows.groupBy("old_shard").agg(F.sum("size"), F.count(F.lit(1))).collect()}  # at most n_old rows
     supply = [totals.get(i, (0, 0))[0] for i in range(n_old)]
     capacity = even(sum(supply), n_new)
-    flow = min_cost_flow(supply, capacity, [[int(i != j) for j in range(n_new)] for i in range(n_old)])
+    flows: list[list[tuple[int, int]]] = [[] for _ in range(n_old)]  # what stays first
+    for i, j, amount in stay_or_move(supply, capacity):
+        flows[i].append((j, amount))
     cuts, blocks_of = [], []
     for i in range(n_old):
         blocks_of.append((i, max(least_blocks, -(-totals.get(i, (0, 0))[1] // block_rows))))
         at = 0
-        order = [j for j in ([i] if i < n_new else []) + [j for j in range(n_new) if j != i] if flow[i][j]]
-        for k, j in enumerate(order):
-            cuts.append((i, j, float("-inf") if k == 0 else float(at), float("inf") if k == len(order) - 1 else float(at + flow[i][j])))
-            at += flow[i][j]
+        for k, (j, amount) in enumerate(flows[i]):
+            cuts.append((i, j, float("-inf") if k == 0 else float(at), float("inf") if k == len(flows[i]) - 1 else float(at + amount)))
+            at += amount
 
     per_old = F.element_at(F.create_map(*[F.lit(x) for pair in blocks_of for x in pair]), F.col("old_shard"))
     block = lambda id_col: F.pmod(F.xxhash64(F.lit(7), id_col), per_old.cast("long"))
     rows = rows.withColumn("block", block("id"))
     sizes = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("b_size"), F.count(F.lit(1)).alias("b_rows"))
     in_old = Window.partitionBy("old_shard").orderBy(F.desc("b_size"), "block").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = spark.createDataFrame(cuts, "c_old int, shard int, low double, high double")  # at most n_old * n_new rows
+    bounds = spark.createDataFrame(cuts, "c_old int, shard int, low double, high double")  # at most n_old + n_new amounts of moves, and n_old that stay
     middle = F.sum("b_size").over(in_old) - F.col("b_size") / 2
     placed = sizes.withColumn("middle", middle).join(F.broadcast(bounds), (F.col("old_shard") == F.col("c_old")) & (F.col("middle") >= F.col("low")) & (F.col("middle") < F.col("high")))
     in_new = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, 0)

@@ -5,7 +5,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from docloom.llm import queries
-from docloom.llm.sharding import even, min_cost_flow, reshard, rewrite, rewrite_affected
+from docloom.llm.sharding import even, min_cost_flow, reshard, rewrite, rewrite_affected, stay_or_move
 from tests.llm.helpers import ODD, documents, words
 
 
@@ -25,6 +25,20 @@ def test_flow_is_cheapest():
         assert sum(f * c for a, b in zip(flow, cost) for f, c in zip(a, b)) == best
 
 
+def test_sparse_flow_costs_what_the_full_one_does():
+    r = random.Random(3)
+    for _ in range(60):
+        n, m = r.randint(1, 6), r.randint(1, 6)
+        supply, capacity = [r.randint(0, 9) for _ in range(n)], [r.randint(0, 12) for _ in range(m)]
+        if sum(supply) > sum(capacity):
+            continue
+        full = min_cost_flow(supply, capacity, [[int(i != j) for j in range(m)] for i in range(n)])
+        found = stay_or_move(supply, capacity)
+        assert [sum(a for i, _, a in found if i == k) for k in range(n)] == supply and all(sum(a for _, j, a in found if j == k) <= c for k, c in enumerate(capacity))
+        assert sum(a for i, j, a in found if i != j) == sum(full[i][j] for i in range(n) for j in range(m) if i != j)
+        assert len(found) <= 2 * n + m and all(a > 0 for *_, a in found)
+
+
 def test_reshard(spark, tmp_path):
     rows = [(i, words(i, 1 + i % 50)) for i in range(600)] + [x for x in ODD if len(x[1] or "") < 1000]
     docs = documents(spark, rows)
