@@ -74,10 +74,15 @@ class ConversionError(Exception):
         self.code, self.message = code, message
 
 
+def left_units(text: str, n: int) -> str:
+    """The first n UTF-16 units of a text; a character that is cut in two leaves U+FFFD."""
+    return text if 2 * len(text) <= n else text.encode("utf-16-le", "surrogatepass")[: 2 * n].decode("utf-16-le", "replace")
+
+
 def error_info(error: BaseException) -> tuple[str, str]:
     """(code, message of at most 1000 characters) of any exception."""
     code = getattr(error, "code", None)
-    return code if isinstance(code, str) else "CONVERSION_FAILED", (str(error) or "An unexpected error occurred.")[:ERROR_CHARS]
+    return code if isinstance(code, str) else "CONVERSION_FAILED", left_units(str(error) or "An unexpected error occurred.", ERROR_CHARS)
 
 
 def detect_format(name: str, mime: str | None = None, override: str = "auto") -> str:

@@ -58,11 +58,20 @@ def md_table(rows: Column) -> Column:
     return F.when(F.size(rows) == 0, F.lit(EMPTY_TABLE)).otherwise(F.concat(F.array_join(lines, "\n"), F.lit("\n")))
 
 
+def left_units(text: Column, n: int) -> Column:
+    """The first n UTF-16 units of a text; a character that is cut in two leaves U+FFFD."""
+    units = F.encode(text, "UTF-16LE")
+    cut = F.substring(units, 1, 2 * n)
+    torn = F.rlike(F.hex(F.substring(units, 2 * n, 1)), F.lit("^D[89AB]"))
+    whole = F.decode(F.when(torn, F.substring(cut, 1, 2 * n - 2)).otherwise(cut), "UTF-16LE")
+    return F.when(F.length(text) * 2 <= n, text).when(F.octet_length(units) <= 2 * n, text).when(torn, F.concat(whole, F.lit("\ufffd"))).otherwise(whole)
+
+
 def output_name(name: Column) -> Column:
     """The Markdown file's name for a file's name."""
     base = F.regexp_replace(name, r"\.[^.]+\z", "")
     base = F.regexp_replace(base, r'[<>:"/\\|?*\x00-\x1f]', "_")
-    base = F.left(F.regexp_replace(base, r"[ .]+\z", ""), F.lit(limits.NAME_CHARS))
+    base = left_units(F.regexp_replace(base, r"[ .]+\z", ""), limits.NAME_CHARS)
     base = F.when(base == "", "document").otherwise(base)
     return F.concat(F.when(F.rlike(base, F.lit(r"(?i)\A(con|prn|aux|nul|com[1-9]|lpt[1-9])\z")), "_").otherwise(""), base, F.lit(".md"))
 

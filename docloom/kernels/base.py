@@ -36,7 +36,7 @@ class Context:
     budget: Budget = field(default_factory=Budget)
     depth: int = 0
     deadline: float = field(default_factory=lambda: time.monotonic() + TIMEOUT_SECONDS)
-    report: Callable[[str], None] = lambda stage: None
+    report: Callable[[str], None] = lambda stage: None  # told what a file has come to
 
     def check(self) -> None:
         """Called in loops: a file that takes too long ends with its own error, since a task cannot be stopped for one row."""

@@ -6,8 +6,9 @@ import json
 import re
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from typing import Protocol
+from typing import ClassVar, Protocol
 
 import numpy as np
 import regex
@@ -209,9 +210,24 @@ class Recognizer(Protocol):
     def recognize(self, image: bytes, options: Options) -> Recognized: ...
 
 
+class Session:
+    """A recognizer that a process makes when it first needs one, and keeps; only the factory travels to workers."""
+
+    _made: ClassVar[dict[str, Recognizer]] = {}
+
+    def __init__(self, name: str, factory: Callable[[], Recognizer]):
+        self.name, self.factory = name, factory
+
+    def recognize(self, image: bytes, options: Options) -> Recognized:
+        if self.name not in self._made:
+            self._made[self.name] = self.factory()
+        return self._made[self.name].recognize(image, options)
+
+
 def recognize(image: bytes, context: Context) -> Recognized:
     if context.recognizer is None:
         raise ConversionError("MODEL_UNAVAILABLE", "OCR models are not available offline. Provide a recognizer and retry.")
+    context.report("recognizing")
     found = context.recognizer.recognize(image, context.options)
     text = (found.text or "").strip()
     if context.options.ocr_language == "ar":
@@ -291,7 +307,7 @@ def read_exif(data: bytes) -> dict[str, dict[int, object]]:
 
 def _value(value: object) -> str:
     if isinstance(value, str):
-        return value.rstrip("\0")[: limits.EXIF_CHARS]
+        return limits.left_units(value.rstrip("\0"), limits.EXIF_CHARS)
     if isinstance(value, list):
         return json.dumps(value[: limits.EXIF_ITEMS], separators=(",", ":")) + ("…" if len(value) > limits.EXIF_ITEMS else "")
     return str(value)

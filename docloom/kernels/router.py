@@ -66,7 +66,9 @@ def register_converter(fmt: str, kernel: Kernel) -> None:
 def convert(name: str, data: bytes, context: Context | None = None, fmt: str = "auto", mime: str | None = None, kernels: dict[str, Kernel] | None = None) -> Result:
     """Markdown and warnings of a file; raises ConversionError."""
     context = context or Context()
-    result = (KERNELS | (kernels or {}))[detect_format(name, mime, fmt)](data, context)
+    kind = detect_format(name, mime, fmt)
+    context.report(f"converting {kind}")
+    result = (KERNELS | (kernels or {}))[kind](data, context)
     if not isinstance(result.markdown, str):
         raise ConversionError("INVALID_RESULT", "Converter did not return Markdown.")
     if utf8_size(result.markdown) > limits.MAX_OUTPUT_BYTES:

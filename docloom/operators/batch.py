@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Iterator
@@ -65,9 +66,13 @@ class BatchStore:
     ends early is run again by the next one, and nothing else. Opening a store ends what a run that broke off has left half done.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, prune_hours: int | None = None):
+        """prune_hours: prune at once, as at every start of a service."""
         self.spark, self.root = spark, root.rstrip("/")
+        self._running: set[str] = set()
         self._recover()
+        if prune_hours is not None:
+            self.prune(hours=prune_hours)
 
     def _recover(self) -> None:
         """Take up an exchange of results that broke off between its two renamings; drop what was not finished before."""
@@ -135,6 +140,7 @@ class BatchStore:
         commits: parts of the jobs, by a hash of their ids, whose results are committed one after the other; a run that fails loses one part's work.
         """
         self.spark.addTag(batch)
+        self._running.add(batch)
         try:
             pending = self.pending(batch).select("job_id").count()
             if pending:
@@ -145,6 +151,7 @@ class BatchStore:
             if pending:
                 self._drop(f"inputs/batch_id={batch}")
         finally:
+            self._running.discard(batch)
             self.spark.removeTag(batch)
 
     def _run(self, batch: str, recognizer: object | None, at: int | None, part: Column) -> None:
@@ -158,6 +165,21 @@ class BatchStore:
         done = done.select("job_id", "ordinal", "name", "state", "markdown", "warnings", "error", "bytes", F.lit(now_ms() if at is None else at).alias("created_at"))
         done.write.mode("append").parquet(f"{self.root}/results/batch_id={batch}")
 
+    def update(self, batch: str, label: str, at: int | None = None) -> bool:
+        """Give a batch another label and note that something happened to it; a batch that is not there stays so, and the answer is False."""
+        if not self.jobs().where(F.col("batch_id") == batch).head(1):
+            return False
+        now = now_ms() if at is None else at
+        self.spark.range(1).select(F.lit(label).alias("label"), F.lit(now).cast("long").alias("at")).write.mode("append").parquet(f"{self.root}/labels/batch_id={batch}")
+        self._touch(batch, now)
+        return True
+
+    def batches(self) -> DataFrame:
+        """batch_id, created_at, updated_at and the last label (null without one)."""
+        made = self.jobs().groupBy("batch_id").agg(F.min("created_at").alias("created_at"))
+        labels = self._read("labels", "batch_id string, label string, at bigint").groupBy("batch_id").agg(F.max_by("label", "at").alias("label"))
+        return made.join(self.touched().withColumnRenamed("at", "updated_at"), "batch_id").join(labels, "batch_id", "left")
+
     def cancel(self, batch: str, at: int | None = None) -> None:
         """End what is pending as cancelled."""
         error = F.struct(F.lit("CANCELLED").alias("code"), F.lit("Conversion was cancelled.").alias("message"))
@@ -166,10 +188,11 @@ class BatchStore:
         self._drop(f"inputs/batch_id={batch}")
 
     def status(self) -> DataFrame:
-        """batch_id, total, finished, errors, cancelled, state (queued, interrupted, done or cancelled)."""
+        """batch_id, total, finished, errors, cancelled, state (queued, running, interrupted, done or cancelled); running is what this store runs just now."""
         joined = self.jobs().join(self.results().select("job_id", "state"), "job_id", "left")
         counts = joined.groupBy("batch_id").agg(F.count(F.lit(1)).alias("total"), F.count("state").alias("finished"), F.count_if(F.col("state") == "error").alias("errors"), F.count_if(F.col("state") == "cancelled").alias("cancelled"))
-        state = F.when(F.col("finished") == 0, "queued").when(F.col("finished") < F.col("total"), "interrupted").when(F.col("cancelled") > 0, "cancelled").otherwise("done")
+        runs = F.col("batch_id").isin(sorted(self._running)) & (F.col("finished") < F.col("total"))
+        state = F.when(runs, "running").when(F.col("finished") == 0, "queued").when(F.col("finished") < F.col("total"), "interrupted").when(F.col("cancelled") > 0, "cancelled").otherwise("done")
         return counts.withColumn("state", state)
 
     def outputs(self, at: int | None = None, hours: int = 24) -> DataFrame:
@@ -206,7 +229,7 @@ class BatchStore:
         fs.rename(self._path(f"results-new-{mark}")[1], results)
         self._drop(f"results-old-{mark}")
         for batch in gone:
-            for name in ("jobs", "inputs", "touched"):
+            for name in ("jobs", "inputs", "touched", "labels"):
                 self._drop(f"{name}/batch_id={batch}")
 
     def stats(self) -> DataFrame:
@@ -217,6 +240,39 @@ class BatchStore:
         self._drop("results")
 
 
+def runnable(jobs: DataFrame, state: str = "state") -> DataFrame:
+    """Jobs that a run takes up: those queued, and those a run that ended early left running."""
+    return jobs.where(F.col(state).isin("queued", "running"))
+
+
+def update_if_exists(rows: DataFrame, changes: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """rows with the columns of changes (one row a key) where their key is there, and `updated`; a change without its row is left out, a null in it changes nothing."""
+    renamed = changes.select(key, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("updated"))
+    joined = rows.join(renamed, key, "left")
+    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else c for c in rows.columns], F.coalesce("updated", F.lit(False)).alias("updated"))
+
+
+class SettingsStore:
+    """Options that outlive a session: defaults, the stored changes over them, checked as a whole before they are kept."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.path = spark, f"{root.rstrip('/')}/settings"
+
+    def load(self) -> Options:
+        try:
+            last = self.spark.read.schema("at bigint, options string").parquet(self.path).agg(F.max_by("options", "at")).first()[0]
+        except AnalysisException:
+            last = None
+        return Options(**(json.loads(last) if last else {}))
+
+    def save(self, **changes: object) -> Options:
+        """The options with changes; what they may not be raises ValueError and is not kept."""
+        options = Options(**(asdict(self.load()) | changes))
+        row = self.spark.range(1).select(F.lit(time.time_ns()).cast("long").alias("at"), F.lit(json.dumps(asdict(options))).alias("options"))
+        row.write.mode("append").parquet(self.path)
+        return options
+
+
 def last_events(events: DataFrame) -> DataFrame:
     """(batch_id, at): the last of each batch's events (batch_id, at)."""
     return events.groupBy("batch_id").agg(F.max("at").alias("at"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,13 +24,13 @@ SPREAD_BYTES = 64 * limits.MIB
 _ERROR = pa.struct([("code", pa.string()), ("message", pa.string())])
 
 
-def convert(files: DataFrame, *, name: str = "name", content: str = "content", mime: str | None = None, override: str = "auto", options: Options | None = None, recognizer: object | None = None, kernels: dict[str, Kernel] | None = None, spread: int | None = None) -> DataFrame:
+def convert(files: DataFrame, *, name: str = "name", content: str = "content", mime: str | None = None, override: str = "auto", options: Options | None = None, recognizer: object | None = None, kernels: dict[str, Kernel] | None = None, spread: int | None = None, report: Callable[[str], None] | None = None) -> DataFrame:
     """files with format, state (done or error), markdown, warnings, error and bytes in place of the content.
 
     Routing and size checks are columns; all else happens in one Python stage, which is opaque to the optimizer and so runs
     once for a row. A file over the limit is not sent there. spread: deal the files to so many tasks first; left out, an input that
     the optimizer takes for small (SPREAD_BYTES a core) is dealt out, and a larger one keeps the scan's own splits; 0 never deals.
-    A missing content is INPUT_MISSING; a null name is no format's.
+    report: told on the worker what each file has come to, for instance an accumulator's add. A missing content is INPUT_MISSING; a null name is no format's.
     """
     ensure_importable(files.sparkSession)
     options = options or Options()
@@ -53,7 +53,7 @@ def convert(files: DataFrame, *, name: str = "name", content: str = "content", m
                 raise ConversionError("FILE_TOO_LARGE", f"{file} exceeds the 20 MB file limit.")
             if data is None:
                 raise ConversionError("INPUT_MISSING", "The input of this job is missing.")
-            result = convert_file(file or "", data, Context(options=options, recognizer=recognizer), fmt or "auto", kind, kernels)
+            result = convert_file(file or "", data, Context(options=options, recognizer=recognizer, **({"report": report} if report else {})), fmt or "auto", kind, kernels)
             return {"state": "done", "markdown": result.markdown, "warnings": result.warnings, "error": None}
         except Exception as error:  # one file's failure is its own row
             code, message = error_info(error)

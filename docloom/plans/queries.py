@@ -300,7 +300,7 @@ def runnable_anti_join(spark: SparkSession, d: str) -> DataFrame:
 @query
 def runnable_jobs_orders(spark: SparkSession, d: str) -> DataFrame:
     state = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "queued").otherwise("running")
-    return table(spark, d, "orders").withColumn("state", state).where(F.col("state").isin("queued", "running")).select("o_orderkey", "state")
+    return batch.runnable(table(spark, d, "orders").withColumn("state", state)).select("o_orderkey", "state")
 
 
 @query
@@ -314,9 +314,8 @@ def job_input_orders(spark: SparkSession, d: str) -> DataFrame:
 @query
 def update_if_exists_customer(spark: SparkSession, d: str) -> DataFrame:
     """A result put into its job, where there is one: the last order's price over the balance."""
-    last = table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("price"))
-    joined = table(spark, d, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return joined.select("c_custkey", F.coalesce("price", "c_acctbal").alias("value"), F.col("price").isNotNull().alias("updated"))
+    last = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("value"))
+    return batch.update_if_exists(table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("value")), last, "c_custkey", ("value",))
 
 
 @query
@@ -343,7 +342,7 @@ def output_name_collisions(spark: SparkSession, d: str) -> DataFrame:
 @query
 def error_messages_documents(spark: SparkSession, d: str) -> DataFrame:
     """Messages cut to their greatest length."""
-    return table(spark, d, "documents").select("doc_id", F.left("text", F.lit(limits.ERROR_CHARS)).alias("message"))
+    return table(spark, d, "documents").select("doc_id", md.left_units(F.col("text"), limits.ERROR_CHARS).alias("message"))
 
 
 # --- converters -----------------------------------------------------------------------------------------------------------

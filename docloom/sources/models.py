@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,45 @@ def kept(records: DataFrame, catalogue: list[Model] | None, at: int, hours: int
     return retained(live(known, at, hours), budget, id_col="id")
 
 
+class ModelStore:
+    """Model files kept below a path that all executors reach, by identifier."""
+
+    SCHEMA = "id string, bytes bigint, language string, created_at bigint, content binary"
+
+    def __init__(self, spark: SparkSession, root: str, catalogue: list[Model]):
+        self.spark, self.path, self.catalogue = spark, f"{root.rstrip('/')}/models", catalogue
+
+    def records(self) -> DataFrame:
+        """All that is stored; of an identifier the last."""
+        try:
+            rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        newest = rows.groupBy("id").agg(F.max("created_at").alias("created_at"))
+        return rows.join(F.broadcast(newest), ["id", "created_at"]).select(*rows.columns)  # of a catalogue's few models
+
+    def get(self, model: Model, at: int, hours: int = 24) -> bytes | None:
+        """A model's bytes, unless they are too old or not what the catalogue says."""
+        row = live(self.records().where(F.col("id") == model.id), at, hours).select("content").first()
+        return None if row is None else check_model(model, bytes(row["content"]))
+
+    def put(self, model: Model, data: bytes, at: int, budget: int = MODEL_BYTES) -> None:
+        """Keep a checked model; the oldest others go until it fits."""
+        row = self.spark.createDataFrame([(model.id, model.bytes, model.language, at, check_model(model, data))], self.SCHEMA)
+        self._replace(with_room_for(self.records().where(F.col("id") != model.id), model, budget).unionByName(row))
+
+    def prune(self, at: int, hours: int = 24, budget: int = MODEL_BYTES) -> None:
+        """Drop what the catalogue does not know, what is too old, and what lies beyond the budget."""
+        self._replace(kept(self.records(), self.catalogue, at, hours, budget))
+
+    def clear(self) -> None:
+        self._replace(self.records().limit(0))
+
+    def _replace(self, rows: DataFrame) -> None:
+        known = rows.collect()  # a budget's bytes at most
+        self.spark.createDataFrame(known, self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(self.path)
+
+
 def with_room_for(records: DataFrame, model: Model, budget: int = MODEL_BYTES) -> DataFrame:
     """records that stay when the oldest go until a new model fits."""
     return evicted_oldest_first(records, budget, model.bytes)

@@ -247,3 +247,52 @@ def test_clean_removes_what_was_materialized(spark):
     session.clean(spark)
     assert not os.path.exists(path)
     session._written.extend(kept)
+
+
+def test_store_of_settings_labels_and_states(spark, tmp_path):
+    store = batch.BatchStore(spark, str(tmp_path / "s"))
+    key = store.stage(table(spark, {"a.csv": b"x", "b.csv": b"y"}), at=5)
+    assert store.update(key, "mine", at=9) and not store.update("nothing", "x")
+    assert store.batches().first().asDict() == {"batch_id": key, "created_at": 5, "updated_at": 9, "label": "mine"}
+    store._running.add(key)
+    assert store.status().first().state == "running" and batch.BatchStore(spark, store.root).status().first().state == "queued"
+    store._running.clear()
+    seen = spark.sparkContext.accumulator(0)
+    assert convert(table(spark, {"a.csv": b"x", "b.json": b"1"}), report=lambda stage: seen.add(1)).count() == 2
+    convert(table(spark, {"a.csv": b"x", "b.json": b"1"}), report=lambda stage: seen.add(1)).collect()
+    assert seen.value >= 2
+    later = batch.BatchStore(spark, store.root, prune_hours=1)  # the batch was staged in 1970
+    assert later.jobs().count() == 0
+    settings = batch.SettingsStore(spark, store.root)
+    assert settings.load() == Options()
+    assert settings.save(cache_hours=5) == Options(cache_hours=5) and settings.save(ocr_language="ar").cache_hours == 5
+    with pytest.raises(ValueError):
+        settings.save(cache_hours=0)
+    assert settings.load() == Options(cache_hours=5, ocr_language="ar")
+
+
+def test_model_store(spark, tmp_path):
+    from hashlib import sha256
+
+    model = lambda name, data: models.Model(name, len(data), sha256(data).hexdigest())
+    catalogue = [model("a", b"x" * 40), model("b", b"y" * 50), model("c", b"z" * 30)]
+    store = models.ModelStore(spark, str(tmp_path), catalogue)
+    assert store.get(catalogue[0], 0) is None
+    for at, (m, data) in enumerate(zip(catalogue, (b"x" * 40, b"y" * 50, b"z" * 30), strict=True)):
+        store.put(m, data, at, budget=100)
+    assert sorted(r.id for r in store.records().collect()) == ["b", "c"] and store.get(catalogue[1], 5) == b"y" * 50
+    hour = 3_600_000
+    assert store.get(catalogue[1], 1 + 24 * hour) is None and store.get(catalogue[2], 1 + 24 * hour) == b"z" * 30
+    with pytest.raises(ConversionError):
+        store.put(catalogue[0], b"wrong", 9)
+    store.prune(at=5, budget=60)
+    assert [r.id for r in store.records().collect()] == ["c"]
+    models.ModelStore(spark, str(tmp_path), catalogue[:2]).prune(at=5)
+    assert store.records().count() == 0
+    store.clear()
+
+
+def test_units(spark):
+    rows = ["abc", "a\U0001f600b", "\U0001f600\U0001f600", "", "abcdef"]
+    got = [r.u for r in spark.createDataFrame([(x,) for x in rows], "t string").select(md.left_units(F.col("t"), 3).alias("u")).collect()]
+    assert got == [limits.left_units(x, 3) for x in rows] == ["abc", "a\U0001f600", "\U0001f600\ufffd", "", "abc"]

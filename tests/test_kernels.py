@@ -334,6 +334,19 @@ def test_engine_sees_turned_and_bounded_pixels():
     assert convert("b.png", fx.drawn_png(wide), context=Context(recognizer=engine)).warnings[0].startswith("Image was downscaled") and image.image_dimensions(engine.seen[0]) == (limits.RENDER_SIDE, 3)
 
 
+def test_session_makes_its_engine_once():
+    made = []
+
+    def factory():
+        made.append(1)
+        return Engine(*[image.Recognized("x", 0.9)] * 3)
+
+    session = image.Session("test", factory)
+    for _ in range(3):
+        assert convert("a.png", fx.png(5, 5), context=Context(recognizer=session)).markdown == "x\n"
+    assert made == [1]
+
+
 def test_slow_files_end_by_themselves():
     late = Context(deadline=time.monotonic() - 1)
     for name, data in (("a.html", "<p>x</p>"), ("a.csv", "a,b\nc,d"), ("a.json", "[1]"), ("a.docx", fx.docx()), ("a.epub", fx.epub()), ("a.pptx", fx.pptx())):
