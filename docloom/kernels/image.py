@@ -16,6 +16,7 @@ import regex
 from docloom.functions import limits
 from docloom.functions.limits import ConversionError, Options
 from docloom.kernels.base import Context, Result, body_text, table
+from docloom.kernels.jpeg import decode_jpeg, turned
 
 # --- fixed values: EXIF tag names -----------------------------------------------------------------------------------------
 IMAGE_TAGS = {
@@ -203,8 +204,8 @@ class Recognized:
 class Recognizer(Protocol):
     """An engine for recognition: an encoded image in, text and confidence out. None is part of this package.
 
-    A PNG comes with alpha on white, within the pixel limits and turned as options.ocr_rotation says; a JPEG, and a PNG of a kind that is
-    not decoded here, comes as it is stored, and the engine turns and bounds it. There is one engine in a process for all images.
+    Pictures come as PNGs with alpha on white, within the pixel limits, upright by their metadata and turned as options.ocr_rotation says. Those of a kind
+    that is not decoded here (progressive JPEGs and interlaced PNGs above all) come as they are stored, and the engine turns and bounds them.
     """
 
     def recognize(self, image: bytes, options: Options) -> Recognized: ...
@@ -240,10 +241,27 @@ def recognize(image: bytes, context: Context) -> Recognized:
     return Recognized(text, found.confidence, warnings)
 
 
+def _upright(data: bytes, context: Context) -> np.ndarray | None:
+    """A JPEG's pixels, turned as its metadata says; None for what is not decoded here, which is then the engine's to judge."""
+    try:
+        pixels = decode_jpeg(data, context.check)
+    except ConversionError as error:
+        if error.code != "INVALID_IMAGE":
+            raise
+        pixels = None
+    if pixels is None:
+        return None
+    try:
+        orientation = read_exif(data).get("0th", {}).get(274, 1)
+    except (ValueError, struct.error):
+        orientation = 1  # what is wrong with its metadata does not hide a picture
+    return turned(pixels, orientation if isinstance(orientation, int) else 1)
+
+
 def convert_image(data: bytes, context: Context) -> Result:
     width, height = image_dimensions(data)
     warnings = ["Image was downscaled to the OCR pixel limit; small text may be missed."] if bounded_size(width, height)[2] < 1 else []
-    pixels = decode_png(data) if data[:4] == b"\x89PNG" else None
+    pixels = decode_png(data) if data[:4] == b"\x89PNG" else _upright(data, context)
     if pixels is None:
         found = recognize(data, context)
     else:

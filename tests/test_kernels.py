@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from docloom.functions import limits
 from docloom.functions.limits import ConversionError, Options, detect_format, error_info
-from docloom.kernels import archive, base, html, image, layout, numfmt, pdf, presentation, router, text, workbook, xmltree
+from docloom.kernels import archive, base, html, image, jpeg, layout, numfmt, pdf, presentation, router, text, workbook, xmltree
 from docloom.kernels.base import Context, decode_text, fenced
 from docloom.kernels.layout import Token, layout_text, usable_text
 from tests import fixtures as fx
@@ -334,6 +334,28 @@ def test_engine_sees_turned_and_bounded_pixels():
     assert convert("b.png", fx.drawn_png(wide), context=Context(recognizer=engine)).warnings[0].startswith("Image was downscaled") and image.image_dimensions(engine.seen[0]) == (limits.RENDER_SIDE, 3)
 
 
+def test_jpeg_pixels():
+    g = np.random.default_rng(5)
+    smooth = np.kron(g.integers(0, 256, (5, 7, 3)), np.ones((8, 8, 1))).astype(np.uint8)[:37, :51]
+    for pixels, options, most in ((smooth[..., :1], {}, 2), (smooth, {}, 4), (smooth, {"restart": 3}, 4), (np.full((20, 33, 3), (200, 30, 90), np.uint8), {"sampling": 2, "restart": 1}, 4), (g.integers(0, 256, (16, 24, 1)).astype(np.uint8), {}, 3)):
+        found = jpeg.decode_jpeg(fx.drawn_jpeg(pixels, **options))
+        assert found.shape == (*pixels.shape[:2], 3) and np.abs(found - pixels.astype(float)).max() <= most, options
+    whole = fx.drawn_jpeg(smooth)
+    assert jpeg.decode_jpeg(whole.replace(b"\xff\xc0", b"\xff\xc2")) is None
+    assert code(jpeg.decode_jpeg, whole[: len(whole) // 2]) == "INVALID_IMAGE" and code(jpeg.decode_jpeg, b"\xff\xd8\xff\xd9") == "INVALID_IMAGE"
+    marked = np.full((16, 32, 1), 255, np.uint8)
+    marked[:8, :8] = 0  # at the top left, as stored
+    corners = {1: (0, 0), 2: (0, 1), 3: (1, 1), 4: (1, 0), 5: (0, 0), 6: (0, 1), 7: (1, 1), 8: (1, 0)}
+    for orientation, (bottom, right) in corners.items():
+        engine = Engine(image.Recognized("x", 0.9))
+        convert("a.jpg", fx.drawn_jpeg(marked, orientation=orientation), context=Context(recognizer=engine))
+        seen = image.decode_png(engine.seen[0])[..., 0]
+        assert seen.shape == ((16, 32) if orientation < 5 else (32, 16))
+        part = seen[-8:] if bottom else seen[:8]
+        assert (part[:, -8:] if right else part[:, :8]).max() < 9 and (seen < 128).sum() == 64, orientation
+    assert convert("b.jpg", fx.drawn_jpeg(np.full((24, 24, 3), 77, np.uint8))).warnings == ["Blank image/page: no visible text to recognize."]
+
+
 def test_session_makes_its_engine_once():
     made = []
 
