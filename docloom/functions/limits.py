@@ -12,7 +12,7 @@ MAX_FILE_BYTES = 20 * MIB
 MAX_BATCH_BYTES = 100 * MIB
 MAX_OUTPUT_BYTES = 10 * MIB
 WORKERS = 8
-TIMEOUT_SECONDS = 120
+TIMEOUT_SECONDS, MODEL_SECONDS = 120, 60
 CACHE_BYTES = 100 * MIB
 ABANDONED_MS = 86_400_000
 MODEL_BYTES = 64 * MIB

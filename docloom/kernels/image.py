@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+import time
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -219,15 +220,26 @@ class Session:
     def __init__(self, name: str, factory: Callable[[], Recognizer]):
         self.name, self.factory = name, factory
 
-    def recognize(self, image: bytes, options: Options) -> Recognized:
+    def prepare(self) -> None:
         if self.name not in self._made:
             self._made[self.name] = self.factory()
+
+    def recognize(self, image: bytes, options: Options) -> Recognized:
+        self.prepare()
         return self._made[self.name].recognize(image, options)
 
 
 def recognize(image: bytes, context: Context) -> Recognized:
     if context.recognizer is None:
         raise ConversionError("MODEL_UNAVAILABLE", "OCR models are not available offline. Provide a recognizer and retry.")
+    if hasattr(context.recognizer, "prepare"):
+        context.report("preparing models")
+        began = time.monotonic()
+        context.recognizer.prepare()
+        took = time.monotonic() - began
+        if took > limits.MODEL_SECONDS:
+            raise ConversionError("MODEL_TIMEOUT", "OCR model preparation exceeded the time limit. Try again.")
+        context.deadline += took  # what models take is not the file's time
     context.report("recognizing")
     found = context.recognizer.recognize(image, context.options)
     text = (found.text or "").strip()

@@ -78,7 +78,7 @@ ORACLE: dict[str, str] = {
     "has_entities_pages": rf"SELECT page_id, regexp_matches(html, '(?i)<!{_SPACE}*(?:DOCTYPE|ENTITY)\b') AS refused FROM pages",
     "decode_text_documents": "SELECT doc_id, text, true AS malformed FROM documents",
     "file_signature_documents": "SELECT doc_id, ['zip','ole','jpeg','png',NULL][CAST(doc_id % 5 AS INT) + 1] AS kind FROM documents",
-    "crc_sha_documents": "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes FROM documents",
+    "sha_documents": "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes FROM documents",
     "estimate_memory_documents": f"SELECT doc_id, {_FORMATS} AS format, CAST({_NEED} AS BIGINT) AS bytes, {_NEED} > 1073741824 AS over_budget FROM documents",
     "render_scale_part": "SELECT p_partkey, round(CASE WHEN w > 0 AND h > 0 AND greatest(w, h) <= 14400 THEN least(2.0, 2400 / greatest(w, h), sqrt(4e6 / (w * h))) END, 9) AS scale FROM (SELECT p_partkey, p_retailprice * 2 AS w, CAST(p_size * 60 AS DOUBLE) AS h FROM part)",
     "image_size_part": "WITH s AS (SELECT p_partkey, CAST(floor(p_retailprice * 4) AS BIGINT) AS w, CAST(p_size AS BIGINT) * 180 AS h FROM part), t AS (SELECT *, least(1.0, 2400.0::DOUBLE / greatest(w, h), sqrt(4e6 / (w * h))) AS f FROM s) SELECT p_partkey, CASE WHEN w < 1 OR h < 1 THEN 'INVALID_IMAGE' WHEN greatest(w, h) > 8192 OR w * h > 16000000 THEN 'IMAGE_LIMIT' ELSE 'ok' END AS verdict, CAST(greatest(1, floor(w * f)) AS BIGINT) AS width, CAST(greatest(1, floor(h * f)) AS BIGINT) AS height FROM t",

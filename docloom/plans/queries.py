@@ -111,7 +111,7 @@ def file_signature_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def crc_sha_documents(spark: SparkSession, d: str) -> DataFrame:
+def sha_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
 
 

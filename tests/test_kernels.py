@@ -369,6 +369,20 @@ def test_session_makes_its_engine_once():
     assert made == [1]
 
 
+def test_models_have_a_time_of_their_own(monkeypatch):
+    clock = [0.0]
+    monkeypatch.setattr(image.time, "monotonic", lambda: clock[0])
+
+    class Slow(Engine):
+        def prepare(self):
+            clock[0] += 50
+
+    context = Context(recognizer=Slow(image.Recognized("x", 0.9)), deadline=60.0)
+    assert convert("a.png", fx.png(5, 5), context=context).markdown == "x\n" and context.deadline == 110
+    monkeypatch.setattr(limits, "MODEL_SECONDS", 40)
+    assert code(convert, "a.png", fx.png(5, 5), context=Context(recognizer=Slow(), deadline=500.0)) == "MODEL_TIMEOUT"
+
+
 def test_slow_files_end_by_themselves():
     late = Context(deadline=time.monotonic() - 1)
     for name, data in (("a.html", "<p>x</p>"), ("a.csv", "a,b\nc,d"), ("a.json", "[1]"), ("a.docx", fx.docx()), ("a.epub", fx.epub()), ("a.pptx", fx.pptx())):
