@@ -15,9 +15,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.words import hashes, mix, slices, split_words
@@ -260,13 +259,15 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, forests: bool = False) -> DataFrame:
     """(node, component): for each node of edges (u, v) the smallest node that edges lead to.
 
-    Up to EDGES edges are one task's work; more of them go through rounds of large-star and small-star over local forests.
+    Up to EDGES edges are one task's work; more of them go through rounds of large-star and small-star over local forests. forests: the
+    edges come from such already.
     """
     kind = "u long, v long"
-    e = materialize(edges.select("u", "v").where("u <> v").mapInArrow(_forest, kind).distinct(), "edges")
+    e = edges.select("u", "v").where("u <> v")
+    e = materialize((e if forests else e.mapInArrow(_forest, kind)).distinct(), "edges")
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before, written = mark(e), e
     if before[0] <= EDGES:
@@ -330,16 +331,21 @@ def _sketch_fits(sketches: list[np.ndarray], where: np.ndarray, words: np.ndarra
     return fits
 
 
-def _across(rows: pd.DataFrame) -> pd.DataFrame:
+def _across(rows: pa.Table) -> pa.Table:
     """A forest (u, v) of the candidates within the groups (gram, i, j) of a bucket that are not connected yet.
 
     All groups advance together. A group's components stand one after the other, the largest first, and a row meets the rows behind
     its component only, so that a large component costs no more than the rows that are not in it. Pairs that
     found ones connect are not looked at again.
     """
-    rows = rows.assign(own=rows.groupby(["gram", "i", "j", "component"])["node"].transform("size"))
-    rows = rows.sort_values(["gram", "i", "j", "own", "component"], ascending=[True, True, True, False, True], kind="stable")
-    gram, i, j, side, n, pos, node, component = (rows[c].to_numpy(np.int64) for c in ("gram", "i", "j", "side", "n", "pos", "node", "component"))
+    numbers = {c: rows.column(c).to_numpy().astype(np.int64) for c in ("gram", "i", "j", "side", "n", "pos", "node", "component")}
+    by_part = np.lexsort([numbers[c] for c in ("component", "j", "i", "gram")])
+    fresh = np.flatnonzero(np.r_[True, np.any([numbers[c][by_part][1:] != numbers[c][by_part][:-1] for c in ("component", "j", "i", "gram")], axis=0)])
+    own = np.empty(len(by_part), np.int64)
+    own[by_part] = np.repeat(np.diff(np.r_[fresh, len(by_part)]), np.diff(np.r_[fresh, len(by_part)]))
+    order = np.lexsort([numbers["component"], -own, *(numbers[c] for c in ("j", "i", "gram"))])
+    gram, i, j, side, n, pos, component = (numbers[c][order] for c in ("gram", "i", "j", "side", "n", "pos", "component"))
+    sketch = rows.column("sketch").take(pa.array(order)).to_pylist()
     new = np.r_[True, (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
 
     def ends(first: np.ndarray) -> np.ndarray:
@@ -348,13 +354,13 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
         return np.repeat(after, after - starts)
 
     end, behind = ends(new), ends(new | np.r_[True, component[1:] != component[:-1]])
-    size = np.array([len(x) // 8 for x in rows.sketch])
+    size = np.array([len(x) // 8 for x in sketch])
     words = np.round(np.log2(size)).astype(np.int64)
     where, sketches = np.zeros(len(size), np.int64), []
     for w in range(int(words.max()) + 1):
         at = np.flatnonzero(words == w)
         where[at] = np.arange(len(at))
-        sketches.append(np.frombuffer(b"".join(rows.sketch.iloc[at]), np.uint64).reshape(len(at), 1 << w))
+        sketches.append(np.frombuffer(b"".join([sketch[k] for k in at]), np.uint64).reshape(len(at), 1 << w))
     held: list[tuple[np.ndarray, np.ndarray]] = []
     label, waiting = component.copy(), 0
 
@@ -385,7 +391,7 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
     if held:
         contract()
     u, v = held[0] if held else (np.zeros(0, np.int64),) * 2
-    return pd.DataFrame({"u": u, "v": v})
+    return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
 
 def _join_blocks(rows: pa.Table) -> pa.Table:
@@ -480,6 +486,14 @@ def _exact(sets: _Sets, clusters: DataFrame, stars: DataFrame) -> DataFrame:
     return components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
 
+def _per_gram(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """rows with aggregates over the rows of their n-gram; a frequent n-gram's rows, and there are at most MOST_FREQUENT such, are never gathered in one place."""
+    rare, common, by_gram = rows.where("gram >= 0"), rows.where("gram < 0"), Window.partitionBy("gram")
+    found = common.groupBy("gram").agg(*[value.alias(name) for name, value in values.items()])
+    rare = rare.select("*", *[value.over(by_gram).alias(name) for name, value in values.items()])
+    return rare.unionByName(common.join(F.broadcast(found), "gram"))
+
+
 def _few(df: DataFrame) -> DataFrame:
     """df, which was materialized, to be broadcast if it is small enough."""
     return F.broadcast(df) if df.count() <= SMALL else df
@@ -505,13 +519,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = index.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "sketch", "prefix"), "id").alias("x"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "id", "x.*"), "classes")
     entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
-    head = F.min(F.struct("pos", "node", "n"))  # of near copies that with the fewest n-grams of its own, which come first in the order
-    by_gram = Window.partitionBy("gram")
-    rare = entries.where("gram >= 0").withColumn("df", F.count(F.lit(1)).over(by_gram)).withColumn("head", head.over(by_gram)).where("df > 1")
-    common = entries.where("gram < 0")  # of at most MOST_FREQUENT n-grams
-    heads = common.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), head.alias("head")).where("df > 1")
-    columns = ["gram", "node", "n", "pos", "head"]
-    shared = materialize(rare.select(columns).unionByName(common.join(F.broadcast(heads), "gram").select(columns)), "shared")
+    # A head is, of near copies, that with the fewest n-grams of its own, which come first in the order.
+    shared = _per_gram(entries, {"df": F.count(F.lit(1)), "head": F.min(F.struct("pos", "node", "n"))}).where("df > 1")
+    shared = materialize(shared.select("gram", "node", "n", "pos", "head"), "shared")
 
     # First round: every class against the head of each of its n-grams.
     ends = shared.where("node <> head.node").select(F.col("node").alias("a"), F.col("head.node").alias("b"), "pos", F.col("head.pos").alias("b_pos"), "n", F.col("head.n").alias("b_n"))
@@ -523,18 +533,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     # Second round: groups that still have several components, each distinct group once, in tiles.
     known = shared.drop("head").join(_few(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    who = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"who{k}") for k in (1, 2)]
-    split = known.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("df"), F.sum("pos").alias("at"), *who)
+    whole = {"df": F.count(F.lit(1)), "low": F.min("component"), "high": F.max("component"), "inner": F.min_by("component", F.struct("pos", "node")), "at": F.sum("pos")}
+    who = {f"who{k}": F.bit_xor(F.xxhash64(F.lit(k), "node")) for k in (1, 2)}
+    torn = _per_gram(known, whole | who).where("low <> high").drop("low", "high")
+    torn = materialize(_per_gram(torn, {"n_out": F.count_if(F.col("component") != F.col("inner"))}), "torn")
     # Of n-grams that the same sets have, only the first one can be the first that two of them share.
-    split = split.where("low <> high").groupBy("df", "who1", "who2").agg(F.min_by("gram", F.struct("at", "gram")).alias("gram")).withColumn("tiles", F.ceil(F.col("df") / TILE))
-    split = materialize(split.select("gram", "tiles", "df"), "split")
-    buckets = max(partitions(docs.sparkSession), -(-(split.agg(F.sum(F.col("df") * F.col("tiles"))).first()[0] or 0) // BUCKET))
-    left = known.join(split.drop("df"), "gram").withColumn("tile", F.pmod(F.xxhash64(F.lit(3), "node"), "tiles"))
-    # A tile meets itself and, as the second side, each tile before it.
-    other = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
-    placed = left.select("gram", "node", "n", "pos", "component", F.explode(F.transform(other, lambda o: F.struct(F.greatest(o, "tile").alias("i"), F.least(o, "tile").alias("j"), F.when(o > F.col("tile"), 1).otherwise(0).alias("side")))).alias("t")).select("*", "t.*").drop("t")
-    placed = placed.join(sketches, "node").withColumn("bucket", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(buckets)))
-    second = components(placed.groupBy("bucket").applyInPandas(_across, "u long, v long"))
+    once = materialize(torn.groupBy("df", "who1", "who2").agg(F.min_by("gram", F.struct("at", "gram")).alias("gram")).select("gram"), "once")
+    chosen = torn.join(_few(once), "gram", "left_semi")
+    # Tiles of a group's inner component meet those of the rows outside, and these meet each other; of two tiles, one side meets the other.
+    zero, is_in = F.lit(0).cast("long"), F.col("component") == F.col("inner")
+    t_out, t_in = F.ceil(F.col("n_out") / TILE), F.ceil((F.col("df") - F.col("n_out")) / TILE)
+    tile = F.pmod(F.xxhash64(F.lit(3), "node"), F.when(is_in, t_in).otherwise(t_out))
+    seat = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    met_in = F.transform(F.sequence(zero, t_out - 1), lambda o: seat(-1 - F.col("tile"), o, F.lit(0)))
+    met_out = F.concat(F.transform(F.sequence(zero, t_in - 1), lambda k: seat(-1 - k, F.col("tile"), F.lit(1))), F.transform(F.sequence(zero, t_out - 1), lambda o: seat(F.greatest(o, "tile"), F.least(o, "tile"), o > F.col("tile"))))
+    one = F.col("df") <= TILE  # all in one tile
+    copies = chosen.agg(F.sum(F.when(one, 1).when(is_in, t_out).otherwise(t_in + t_out))).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), -(-copies // BUCKET))
+    placed = chosen.join(sketches, "node").withColumn("tile", tile).select("gram", "node", "n", "pos", "component", "sketch", F.explode(F.when(one, F.array(seat(zero, zero, F.lit(0)))).when(is_in, met_in).otherwise(met_out)).alias("t")).select("*", "t.*").drop("t")
+    second = components(placed.withColumn("bucket", F.pmod(F.xxhash64("gram", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInArrow(_across, "u long, v long"), True)
+    forget(torn)
     forget(shared)
     whole = second.select(F.col("node").alias("component"), F.col("component").alias("whole"))
     clusters = first.join(_few(whole), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
