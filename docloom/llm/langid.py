@@ -80,20 +80,15 @@ class Model:
         """Text that is handled at once: there is a number for each word and language."""
         return SLICE_BYTES * FEW_LANGUAGES // max(FEW_LANGUAGES, len(self.languages))
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """Log-likelihoods (words, languages); all nan for a word without letters."""
+    def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods (words, languages), all nan for a word without letters, and how many n-grams of all orders each word has."""
         step = max(1, WORDS_AT_ONCE * MANY_LANGUAGES // max(MANY_LANGUAGES, len(self.languages)))
         parts = [self._some_scores(words[a : a + step]) for a in range(0, len(words), step)]
-        return np.concatenate(parts) if parts else np.zeros((0, len(self.languages)))
+        if not parts:
+            return np.zeros((0, len(self.languages))), np.zeros(0, np.int64)
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
 
-    @staticmethod
-    def word_grams(words: list[str]) -> np.ndarray:
-        """How many n-grams of all orders each word has."""
-        runs = np.array([[k, len(run)] for k, w in enumerate(words) for run in LETTERS.findall(w.lower())], np.int64).reshape(-1, 2)
-        grams = sum(runs[:, 1] if order == 1 else np.maximum(runs[:, 1] + 3 - order, 0) for order in ORDERS)
-        return np.bincount(runs[:, 0], grams, minlength=len(words))
-
-    def _some_scores(self, words: list[str]) -> np.ndarray:
+    def _some_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = np.full((len(words), len(self.languages)), np.nan)
         buckets, orders, owners = ngram_buckets(words, self.table.shape[1])
         order = np.argsort(owners, kind="stable")
@@ -101,7 +96,7 @@ class Model:
         if len(owners):
             begin = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
             out[owners[begin]] = np.add.reduceat(self.table[orders[order], buckets[order]], begin, axis=0, dtype=np.float64)
-        return out
+        return out, np.bincount(owners, minlength=len(words))
 
 
 def _em(likelihood: np.ndarray, offset: np.ndarray, begin: np.ndarray, size: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +122,7 @@ def infer(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nda
     n, n_langs = len(texts), len(model.languages)
     plain, chosen, fit = np.zeros((n, n_langs)), np.zeros((n, n_langs)), np.zeros(n)
     counts, ids, words = units(texts)
-    scores = model.word_scores(words.to_pylist())
+    scores, grams = model.word_scores(words.to_pylist())
     keep = ~np.isnan(scores[ids, 0]) if n_langs and len(ids) else np.zeros(len(ids), bool)
     doc = np.repeat(np.arange(n), counts)[keep]
     ids = ids[keep]
@@ -163,7 +158,7 @@ def infer(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nda
         value[maybe[better]] = (total - (k - 1) * price[maybe])[better]
         likelihood_of[maybe[better]] = total[better]
     chosen[rows] = picked
-    fit[rows] = likelihood_of - np.add.reduceat(model.word_grams(words.to_pylist())[ids], begin) * model.chance
+    fit[rows] = likelihood_of - np.add.reduceat(grams[ids], begin) * model.chance
     return plain, chosen, fit
 
 

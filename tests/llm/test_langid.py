@@ -104,7 +104,7 @@ def test_choice_of_the_set_against_brute_force(spark):
         return share, sum(math.log(max(sum(share[i] * math.exp(r[i] - max(r)) for i in range(3)), 1e-30)) + max(r) for r in rows)
 
     for k, t in enumerate(texts):
-        scores = model.word_scores(t.split())
+        scores, grams = model.word_scores(t.split())
         rows = [r for r in scores.tolist() if not math.isnan(r[0])]
         full, _ = em(rows, {0, 1, 2})
         order = sorted(range(3), key=lambda i: -full[i])
@@ -116,7 +116,8 @@ def test_choice_of_the_set_against_brute_force(spark):
             if value > best:
                 best, share, likelihood = value, got, total
         assert np.allclose(chosen[k], share, atol=1e-3), (k, chosen[k], share)
-        grams = sum(langid.Model.word_grams(t.split()))
+        assert grams.tolist() == [sum(len(run) + 2 - order + 1 if order > 1 else len(run) for run in langid.LETTERS.findall(w) for order in langid.ORDERS) for w in t.split()]
+        grams = sum(grams)
         assert abs(fit[k] - (likelihood - grams * model.chance)) < 1e-2 * max(1, abs(fit[k]))
 
 

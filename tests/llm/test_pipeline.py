@@ -57,3 +57,56 @@ def test_near_duplicates_go_by_row(spark):
     rows = [(1, words(1, 40)), (2, words(1, 40)), (2, words(2, 40)), (3, words(3, 40)), (3, words(3, 40)), (3, words(3, 40)), (4, words(3, 40)), (5, ""), (None, words(1, 40))]
     kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), DATA).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", words(1, 40)), ("2", words(2, 40)), ("3", words(3, 40)), ("5", ""), ("None", words(1, 40))])
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_run_against_brute_force(spark):
+    """All stages in plain loops over the rows, a text at a time; only what is learned comes from the operators."""
+    import hashlib
+    import re
+    from collections import defaultdict
+
+    import pyarrow as pa
+
+    from docloom.llm import pieces, queries
+    from tests.llm.test_jaccard import brute
+    from tests.llm.test_mixing import brute_fill
+
+    docs = table(spark, DATA, "documents")
+    rows = docs.collect()
+    model = langid.learn(docs, queries.remainder(5) != 0)
+
+    def identified(text):
+        _, chosen, fit = langid.infer(model, pa.array([text]))
+        return bool(chosen[0].any()) and fit[0] > 0
+
+    rows = [r for r in rows if identified(r.text)]
+    judge = toxicity.learn(spark.createDataFrame(rows, docs.schema), table(spark, DATA, "labels"), queries.remainder(5) != 0)
+    rows = [r for r in rows if judge.score(pa.array([r.text], pa.string()))[0] < 0.5]
+    rows = [r for r in rows if (str(r.doc_id), str(r.doc_id)) in {(i, c) for i, _, c in brute([(r.doc_id, r.text) for r in rows])}]
+
+    leaves = defaultdict(list)
+    for r in rows:
+        number = re.search(r"(\d{1,9})$", r.source or "")
+        path = (f"domain{int(number[1]) % 4 if number else 0}", r.lang or "(null)", r.source or "(null)")
+        leaves[path].append((hashlib.md5(f"17:0:{r.doc_id}".encode()).hexdigest(), len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r))
+    cap = {k: sum(n for _, n, _ in d) for k, d in leaves.items()}
+
+    def spread(prefix, given):
+        children = {k[: len(prefix) + 1] for k in cap if k[: len(prefix)] == prefix}
+        got = brute_fill({c: (queries.MIX_WEIGHTS.get(c, 1.0), sum(n for k, n in cap.items() if k[: len(c)] == c)) for c in children}, given)
+        return got if len(prefix) == 2 else {k: v for c, alloc in got.items() for k, v in spread(c, alloc).items()}
+
+    taken = []
+    for path, alloc in spread((), int(sum(cap.values()) * corpus_pipeline.MIX_SHARE)).items():
+        left = int(alloc + 1e-6)
+        for _, n, r in sorted(leaves[path], key=lambda x: x[:2]):
+            if n > left:
+                break
+            left -= n
+            taken.append(r)
+    codec = pieces.Codec(pieces.Pieces.parse(queries.pieces_model(spark)))
+    want = {r.doc_id: codec.encode([r.text or ""])[1].tolist() for r in taken}
+    got = corpus_pipeline.run(spark, DATA).collect()
+    assert {r.doc_id: r.token_ids for r in got} == want and len(got) == len(taken) > 50
+    assert all(r.round_trip and codec.decode(r.token_ids) == t.text for r in got for t in taken if t.doc_id == r.doc_id)
