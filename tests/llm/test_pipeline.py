@@ -83,7 +83,8 @@ def test_run_against_brute_force(spark):
     rows = [r for r in rows if identified(r.text)]
     judge = toxicity.learn(spark.createDataFrame(rows, docs.schema), table(spark, DATA, "labels"), queries.remainder(5) != 0)
     rows = [r for r in rows if judge.score(pa.array([r.text], pa.string()))[0] < 0.5]
-    rows = [r for r in rows if (str(r.doc_id), str(r.doc_id)) in {(i, c) for i, _, c in brute([(r.doc_id, r.text) for r in rows])}]
+    component = {i: c for i, _, c in brute([(r.doc_id, r.text) for r in rows])}
+    rows = [r for r in rows if component[str(r.doc_id)] == str(r.doc_id)]
 
     leaves = defaultdict(list)
     for r in rows:
@@ -109,4 +110,5 @@ def test_run_against_brute_force(spark):
     want = {r.doc_id: codec.encode([r.text or ""])[1].tolist() for r in taken}
     got = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id: r.token_ids for r in got} == want and len(got) == len(taken) > 50
-    assert all(r.round_trip and codec.decode(r.token_ids) == t.text for r in got for t in taken if t.doc_id == r.doc_id)
+    text = {r.doc_id: r.text for r in taken}
+    assert all(r.round_trip and codec.decode(r.token_ids) == text[r.doc_id] for r in got)
