@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.words import hashes, mix, slices, split_words
+from docloom.llm.words import gathered, hashes, mix, slices, split_words
 from docloom.session import materialize
 
 #: Text bytes of a chunk and tokens of a shard (of order 2; half of it for order 3), and the share of the corpus from which a word or pair is dealt out.
@@ -100,7 +100,7 @@ def _encode(order: int, chunk_bytes: int):
 def _encoded(batches: Iterator[pa.RecordBatch], order: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     name = f"{context.partitionId()}-{context.taskAttemptId()}" if context else "0"
-    for k, batch in enumerate(slices(batches, "text", chunk_bytes)):
+    for k, batch in enumerate(slices(gathered(batches, "text", chunk_bytes), "text", 2 * chunk_bytes)):
         counts, ids, words = split_words(batch.column("text"))
         own = np.append(hashes(words), END)
         size = counts + 1

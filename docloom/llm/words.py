@@ -28,6 +28,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             yield batch.slice(a, b - a)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """batches put together until the texts of one have about `most` bytes, however small they come."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        own = batch.column(column).nbytes
+        if held and size + own / 2 > most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(words of each text, numbers of all words in order, the distinct words that the numbers stand for).
 
