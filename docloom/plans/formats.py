@@ -33,14 +33,23 @@ def with_sql(sql: str) -> Callable[[Query], Query]:
 
 
 def _files(rows: DataFrame, key: str, make: Callable[..., tuple[str, bytes]], *columns: str) -> DataFrame:
-    """rows' key with a file (name, content) that `make` builds of the key and columns."""
+    """rows' key with a file (name, content) that `make` builds of the key and columns.
+
+    Keys are dealt out before anything is built: a table of narrow rows is a scan of a few splits, whatever its files will weigh.
+    """
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [make(*row) for row in zip(*(b.column(c).to_pylist() for c in (key, *columns)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array([n for n, _ in made]), pa.array([d for _, d in made], pa.binary())], names=[key, "name", "content"])
 
-    return rows.select(key, *columns).mapInArrow(build, f"{key} {dict(rows.dtypes)[key]}, name string, content binary")
+    return rows.select(key, *columns).repartition(tasks, key).mapInArrow(build, f"{key} {dict(rows.dtypes)[key]}, name string, content binary")
+
+
+def _convert(rows: DataFrame, key: str, make: Callable[..., tuple[str, bytes]], *columns: str, recognizer: object | None = None) -> DataFrame:
+    """The files of _files converted where they are built."""
+    return conversion.convert(_files(rows, key, make, *columns), recognizer=recognizer, spread=0)
 
 
 _NL = "chr(10)"
@@ -66,8 +75,8 @@ def _styled(key: int, price: float, size: int) -> tuple[str, bytes]:
     concat_ws(' ', CASE WHEN p_partkey % 3 = 0 THEN 'Merged cells retain their top-left value; other cells remain blank.' END, CASE WHEN p_partkey % 2 = 0 THEN 'Formulas use cached values; formulas are not recalculated.' END) AS notes FROM part""")
 def xlsx_styles_part(spark: SparkSession, d: str) -> DataFrame:
     """Workbooks with days, decimals, percentages, thousands, a formula's value and merged cells."""
-    made = _files(table(spark, d, "part"), "p_partkey", _styled, "p_retailprice", "p_size")
-    return conversion.convert(made).select("p_partkey", "markdown", F.array_join("warnings", " ").alias("notes"))
+    done = _convert(table(spark, d, "part"), "p_partkey", _styled, "p_retailprice", "p_size")
+    return done.select("p_partkey", "markdown", F.array_join("warnings", " ").alias("notes"))
 
 
 @with_sql(f"""WITH n AS (SELECT r_regionkey, r_name, n_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS i FROM region JOIN nation ON r_regionkey = n_regionkey)
@@ -77,8 +86,8 @@ def pptx_notes_region(spark: SparkSession, d: str) -> DataFrame:
     """Slides with a table, a chart and speaker notes."""
     joined = table(spark, d, "region").join(table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
     parts = joined.groupBy("r_regionkey", "r_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("names"))
-    made = _files(parts, "r_regionkey", lambda key, title, names: ("deck.pptx", samples.noted_pptx(title, names, f"Say {title}")), "r_name", "names")
-    return conversion.convert(made).select("r_regionkey", "markdown", F.element_at("warnings", -1).alias("note"))
+    done = _convert(parts, "r_regionkey", lambda key, title, names: ("deck.pptx", samples.noted_pptx(title, names, f"Say {title}")), "r_name", "names")
+    return done.select("r_regionkey", "markdown", F.element_at("warnings", -1).alias("note"))
 
 
 FONT, BODY = ("http://www.idpf.org/2008/embedding", "t/f.otf"), ("http://www.w3.org/2001/04/xmlenc#aes256-cbc", "t/c0.xhtml")
@@ -99,7 +108,7 @@ def _guarded(key: int, name: str) -> tuple[str, bytes]:
 
 @with_sql(f"SELECT n_nationkey, CASE WHEN n_nationkey % 4 IN (1, 3) THEN 'ENCRYPTED_EPUB' ELSE 'ok' END AS outcome, CASE WHEN n_nationkey % 4 IN (0, 2) THEN '# Names' || chr(10) || chr(10) || '## Chapter 1' || chr(10) || chr(10) || '# ' || {_cell('n_name')} || chr(10) || chr(10) || 'text' || chr(10) END AS markdown, CASE WHEN n_nationkey % 4 = 2 THEN 'Obfuscated font assets are omitted; chapter text is unaffected.' ELSE '' END AS notes FROM nation")
 def epub_encryption_nation(spark: SparkSession, d: str) -> DataFrame:
-    done = conversion.convert(_files(table(spark, d, "nation"), "n_nationkey", _guarded, "n_name"))
+    done = _convert(table(spark, d, "nation"), "n_nationkey", _guarded, "n_name")
     return done.select("n_nationkey", F.coalesce("error.code", F.lit("ok")).alias("outcome"), "markdown", F.array_join("warnings", " ").alias("notes"))
 
 
@@ -127,7 +136,7 @@ def _odd_archive(key: int) -> tuple[str, bytes]:
     CASE k WHEN 15 THEN 'a.json: CRC checksum mismatch: a.json' WHEN 16 THEN 'Skipped unsupported file: a.txt' ELSE '' END AS notes FROM (SELECT n_nationkey, n_nationkey % 18 AS k FROM nation)""")
 def archive_rules_nation(spark: SparkSession, d: str) -> DataFrame:
     """Archives that break one rule each: paths, names, flags, sizes, ratios, numbers, depth, checksums."""
-    done = conversion.convert(_files(table(spark, d, "nation"), "n_nationkey", _odd_archive))
+    done = _convert(table(spark, d, "nation"), "n_nationkey", _odd_archive)
     return done.select("n_nationkey", F.coalesce("error.code", F.lit("ok")).alias("outcome"), F.array_join("warnings", " ").alias("notes"))
 
 
@@ -149,7 +158,7 @@ def _at_limit(key: int) -> tuple[str, bytes]:
 @with_sql("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'ok' ELSE ['CSV_LIMIT', 'CSV_LIMIT', 'HTML_LIMIT', 'PPTX_LIMIT', 'PDF_LIMIT', 'OUTPUT_TOO_LARGE', 'INVALID_CSV', 'INVALID_JSON', 'UNSAFE_XML', 'INVALID_EPUB', 'IMAGE_LIMIT', 'INVALID_ENCODING'][CAST(n_nationkey // 2 % 12 AS INTEGER) + 1] END AS outcome FROM nation""")
 def limits_nation(spark: SparkSession, d: str) -> DataFrame:
     """The outcome of files at each limit and just beyond."""
-    return conversion.convert(_files(table(spark, d, "nation"), "n_nationkey", _at_limit)).select("n_nationkey", F.coalesce("error.code", F.lit("ok")).alias("outcome"))
+    return _convert(table(spark, d, "nation"), "n_nationkey", _at_limit).select("n_nationkey", F.coalesce("error.code", F.lit("ok")).alias("outcome"))
 
 
 def _broken(key: int) -> tuple[str, bytes]:
@@ -164,7 +173,7 @@ def _broken(key: int) -> tuple[str, bytes]:
 @with_sql("""SELECT n_nationkey, ['PDF_PASSWORD', 'INVALID_PDF', 'INVALID_DOCX', 'INVALID_PPTX', 'MISSING_ARCHIVE_ENTRY', 'INVALID_SPREADSHEET', 'INVALID_SPREADSHEET', 'UNSAFE_ARCHIVE', 'INVALID_IMAGE', 'INVALID_IMAGE', 'INVALID_XML', 'UNSUPPORTED_FORMAT', 'PDF_LIMIT'][CAST(n_nationkey % 13 AS INTEGER) + 1] AS code FROM nation""")
 def broken_files_nation(spark: SparkSession, d: str) -> DataFrame:
     """The code for files that are not what their names say."""
-    return conversion.convert(_files(table(spark, d, "nation"), "n_nationkey", _broken)).select("n_nationkey", F.col("error.code").alias("code"))
+    return _convert(table(spark, d, "nation"), "n_nationkey", _broken).select("n_nationkey", F.col("error.code").alias("code"))
 
 
 @with_sql(f"SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'INVALID_ENCODING' ELSE 'ok' END AS outcome, CASE WHEN doc_id % 7 <> 0 THEN {_fence('text', 'xml')} END AS markdown FROM documents")
@@ -264,15 +273,15 @@ _LOW = "'Low-confidence OCR (engine score ' || printf('%.2f', (10 + p_size) / 60
     CASE WHEN p_partkey % 2 = 1 THEN 'Blank image/page: no visible text to recognize.' WHEN p_size % 5 = 0 THEN 'No text was recognized. The image may be unreadable, rotated, or in a different language. Check language/rotation in Settings and retry.' WHEN 10 + p_size < 48 THEN {_LOW} ELSE '' END AS notes FROM part""")
 def recognized_part(spark: SparkSession, d: str) -> DataFrame:
     """Pictures, blank ones among them, through a recognizer that states how sure it is."""
-    made = _files(table(spark, d, "part"), "p_partkey", _drawn, "p_retailprice", "p_size")
-    return conversion.convert(made, recognizer=SizeReader()).select("p_partkey", "markdown", F.array_join("warnings", " ").alias("notes"))
+    done = _convert(table(spark, d, "part"), "p_partkey", _drawn, "p_retailprice", "p_size", recognizer=SizeReader())
+    return done.select("p_partkey", "markdown", F.array_join("warnings", " ").alias("notes"))
 
 
 @with_sql("SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 'ok' ELSE 'MODEL_UNAVAILABLE' END AS outcome FROM part")
 def blank_pictures_part(spark: SparkSession, d: str) -> DataFrame:
     """Blank pictures need no recognizer; others do."""
-    made = _files(table(spark, d, "part"), "p_partkey", _drawn, "p_retailprice", "p_size")
-    return conversion.convert(made).select("p_partkey", F.coalesce("error.code", F.lit("ok")).alias("outcome"))
+    done = _convert(table(spark, d, "part"), "p_partkey", _drawn, "p_retailprice", "p_size")
+    return done.select("p_partkey", F.coalesce("error.code", F.lit("ok")).alias("outcome"))
 
 
 def _declared(key: int, price: float, size: int) -> tuple[str, bytes]:
@@ -287,8 +296,8 @@ def _declared(key: int, price: float, size: int) -> tuple[str, bytes]:
     FROM (SELECT p_partkey, CAST(floor(p_retailprice * 4) AS BIGINT) AS w, CAST(p_size AS BIGINT) * 180 AS h FROM part)""")
 def declared_sizes_part(spark: SparkSession, d: str) -> DataFrame:
     """Sizes that pictures declare, checked before anything is decoded."""
-    made = _files(table(spark, d, "part"), "p_partkey", _declared, "p_retailprice", "p_size")
-    return conversion.convert(made).select("p_partkey", F.col("error.code").alias("code"))
+    done = _convert(table(spark, d, "part"), "p_partkey", _declared, "p_retailprice", "p_size")
+    return done.select("p_partkey", F.col("error.code").alias("code"))
 
 
 # --- batches, stores and streams ------------------------------------------------------------------------------------------------

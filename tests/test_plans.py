@@ -32,3 +32,12 @@ def test_rows(spark, con, name):
 def test_entry(spark):
     pages = entry.entry(spark).collect()
     assert len(pages) > 0 and all(p.state == "done" and p.bytes == len(p.markdown.encode()) and "track(" not in p.markdown for p in pages)
+
+
+def test_files_are_built_where_keys_are_dealt_out(spark):
+    """A table of narrow rows is one split; its files are built and converted in as many tasks as there is room for, in one stage."""
+    rows = spark.range(1, 301).coalesce(1).selectExpr("id AS p_partkey", "901.5D AS p_retailprice", "7 AS p_size")
+    done = formats._convert(rows, "p_partkey", formats._styled, "p_retailprice", "p_size")
+    assert done.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert {(r.state, r.markdown.count("901.50")) for r in done.collect()} == {("done", 1)} and done.count() == 300
