@@ -1,6 +1,6 @@
 """Markdown rendering and file checks as Spark columns, and as SQL functions of the same names.
 
-All are built-in expressions, so they stay in generated code and can be pushed down.
+All but error_rate are built-in expressions, so they stay in generated code and can be pushed down.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import limits
+from docloom.functions.edits import levenshtein
 
 #: What is escaped in a cell, in this order (fixed values).
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\\", "\\\\"), ("|", "\\|"), ("`", "\\`"), ("*", "\\*"), ("_", "\\_"), ("[", "\\["), ("]", "\\]"))
@@ -146,7 +147,7 @@ def image_ok(width: Column, height: Column) -> Column:
 def error_rate(expected: Column, actual: Column) -> Column:
     """Levenshtein distance by length of what is expected, white space collapsed."""
     norm = lambda c: F.btrim(F.regexp_replace(c, SPACE + "+", " "))
-    return F.levenshtein(norm(expected), norm(actual)) / F.length(norm(expected))
+    return levenshtein(norm(expected), norm(actual)) / F.length(norm(expected))
 
 
 def ordered_concat(order: Column, section: Column, separator: str) -> Column:

@@ -231,7 +231,8 @@ def logical_arabic_orders(spark: SparkSession, d: str) -> DataFrame:
 def nfkc_error_rate_conversations(spark: SparkSession, d: str) -> DataFrame:
     """Error rates of texts that differ in ligatures, wide digits and spaces only, and of ones with one wrong letter."""
     text = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^\x21-\x7E]", " "), " +", " "))
-    turns = table(spark, d, "conversations").withColumn("x", text).where("x <> ''")
+    dealt = table(spark, d, "conversations").repartition(4 * spark.sparkContext.defaultParallelism, "conv_id", "turn")  # short rows are a scan of a few splits
+    turns = dealt.select("conv_id", "turn", text.alias("x")).where("x <> ''")
     expected = F.concat("x", F.lit(" \ufb01"))  # the ligature fi
     wide = F.translate("x", "0123456789", "".join(chr(0xFF10 + k) for k in range(10)))
     rate = lambda actual: F.round(scalars.character_error_rate(expected, actual), 9)

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docloom.functions import limits
+from docloom.functions.edits import distance
 from docloom.functions.limits import ConversionError, Options, detect_format, error_info
 from docloom.kernels import archive, base, html, image, jpeg, layout, numfmt, pdf, presentation, router, text, workbook, xmltree
 from docloom.kernels.base import Context, decode_text, fenced
@@ -456,3 +457,25 @@ def test_pdf_edges():
             convert("a.pdf", bytes(data[:at]) + b"<<[(" + bytes(data[at + 4 :]))
         except ConversionError as e:
             assert e.code in ("INVALID_PDF", "PDF_UNREADABLE", "PDF_LIMIT", "PDF_PASSWORD")
+
+
+def _table_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        corner, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
+    return row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abé\U0001f600 ", max_size=80), st.text("abé\U0001f600 ", max_size=80))
+def test_edit_distance_is_that_of_the_whole_table(a, b):
+    assert distance(a, b) == distance(b, a) == _table_distance(a, b)
+
+
+def test_edit_distance_of_long_texts():
+    """Texts for whose 4 * 10^10 pairs of letters a table would take an hour."""
+    text = "".join(map(str, range(40_000)))[:200_000]
+    assert distance(text, text) == 0 and distance(text + " fi", text + " fo") == 1 and distance("x" + text, text + "y") <= 2
+    assert distance("a" * 20_000, "b" * 20_001) == 20_001

@@ -41,3 +41,18 @@ def test_files_are_built_where_keys_are_dealt_out(spark):
     assert done.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert done._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
     assert {(r.state, r.markdown.count("901.50")) for r in done.collect()} == {("done", 1)} and done.count() == 300
+
+
+def test_error_rates_are_dealt_out_and_take_long_texts(spark):
+    """Not in the few splits of a scan of short rows, and not by a table of all pairs of letters."""
+    from pyspark.sql import functions as F
+
+    from docloom.functions import markdown, scalars
+
+    plan = QUERIES["nfkc_error_rate_conversations"](spark, compare.DATA)
+    assert plan.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert "levenshtein(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    long = "ab " * 100_000
+    rows = spark.createDataFrame([(long + "\ufb01", long + "fo"), ("a  b", "a b"), ("abcd", None), (None, "x")], "a string, b string")
+    for rate, first in ((scalars.character_error_rate, 1 / 300_002), (markdown.error_rate, 2 / 300_001)):
+        assert [r.r for r in rows.select(rate(F.col("a"), F.col("b")).alias("r")).collect()] == [first, 0.0, None, None]
